@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .mixing import pfair_schedule
+from .chat import format_chats, masked_text, parse
 from .packing import pack_documents
+from .shared import new_path
+from .simhash_dedup import simhash_components
+from .token_files import read_token_files, write_token_files
+from .warc import assemble_captures, read_warc_records, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +27,46 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = write_token_files(_table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
+    return read_token_files(spark, listed)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = write_warc(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    captures = assemble_captures(read_warc_records(spark, listed).drop("payload", "block").withColumns({"payload": F.lit(None).cast("binary"), "block": F.lit(None).cast("binary")}))
+    main = F.col("response")
+    rows = captures.select(F.col("metadata.page_id").alias("page_id"), "record_id", main.payload_bytes.alias("payload_bytes"), main.payload_digest.alias("payload_digest"), main.kind.alias("record_type"), main.refers_to.alias("refers"))
+    named = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
+    return rows.join(named, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _chat_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[list] = [[] for _ in range(5)]
+        cols = [batch.column(c).to_pylist() for c in ("formatted", "token_start", "token_end", "loss_mask")]
+        for formatted, starts, ends, mask in zip(*cols, strict=True):
+            turns = parse(formatted)
+            said = "".join(f"{r}\n{t}\n" for r, t in turns)
+            loss = masked_text(formatted, starts, ends, mask)
+            for held, v in zip(out, (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)), strict=True):
+                held.append(v)
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(x) if x else pa.array(x, pa.string() if i in (1, 3) else pa.int64()) for i, x in enumerate(out))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    done = format_chats(rows.unionByName(more))
+    kind = dict(done.dtypes)["conv_id"]
+    return done.mapInArrow(_chat_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -30,6 +77,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_simhash": op3_simhash,
+    "op4_token_files": op4_token_files,
+    "op5_warc": op5_warc,
+    "op6_chat": op6_chat,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> It
     """Slices of the batches whose ``column`` holds about ``most`` bytes of text, one row at least."""
     for batch in batches:
         at, size = 0, 0
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         for i, n in enumerate(lengths):
             size += n or 0
             if size >= most:
