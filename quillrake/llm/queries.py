@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats, masked_text, parse
 from .exact_dedup import exact_groups
+from .language_id import identify_languages
+from .lattice_dedup import embedding_links
 from .mixing import pfair_schedule
-from .chat import format_chats, masked_text, parse
 from .packing import pack_documents
 from .shared import new_path
 from .simhash_dedup import simhash_components
+from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 from .warc import assemble_captures, read_warc_records, write_warc
 
@@ -27,6 +30,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +74,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.mapInArrow(_chat_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -77,10 +92,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_lattice": op2_lattice,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_warc": op5_warc,
     "op6_chat": op6_chat,
+    "op7_substring": op7_substring,
+    "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }

@@ -153,3 +153,46 @@ def test_mixing(spark, sf):
         mine, last = sorted(t for t, (s, _) in slots.items() if s == source), 0
         for j, t in enumerate(mine):
             assert j - 1 < t * u / 4096 < j + 1
+
+
+def test_lattice(spark, sf):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids = [r["vec_id"] for r in table]
+    x = np.array([r["embedding"] for r in table], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    links = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
+    want = least(links, ids)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows(spark, sf, "op2_lattice")}
+    exact = {v: (int(near[i].sum()) - 1, want[v], want[v] == v) for i, v in enumerate(ids)}
+    assert set(got) == set(ids)
+    assert all(got[v][0] <= exact[v][0] for v in ids)
+    assert sum(g[0] for g in got.values()) >= 0.95 * sum(e[0] for e in exact.values())
+    assert sum(got[v] == exact[v] for v in ids) >= 0.95 * len(ids)
+
+
+def test_substring(spark, sf, docs):
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", x) for d, x in docs.items()}
+    seen = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    want = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        want[d] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(spark, sf, "op7_substring")}
+    assert got == want
+    assert any(0 < w[1] < w[0] for w in want.values())
+
+
+def test_language(spark, sf):
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = rows(spark, sf, "op8_language")
+    assert {r["doc_id"] for r in got} == set(langs)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.95 * len(held)
