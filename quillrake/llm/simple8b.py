@@ -10,13 +10,19 @@ import numpy as np
 
 #: (ids in a word, bits of each); the selector is the place in this list plus one.
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
+_ESCAPE = np.uint64(2**64 - 1)
+_PART = np.concatenate([[0.0], 1.0 / np.arange(1, 61)])
 _COUNT = np.zeros(16, np.int64)
 _COUNT[1:15] = [n for n, _ in PACKINGS]
-_CUTOFFS = (32, 15, 12)
+#: (bits, share of escapes above which the 32 bits of each cannot pay).
+_CUTOFFS = ((15, 0.16), (12, 0.1))
+_WIDTH = np.frexp(np.arange(1 << 16, dtype=np.float64) + 1)[1].astype(np.uint8)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs below the all-ones slot."""
+    if len(ids) and ids.max() < len(_WIDTH):
+        return _WIDTH[ids]
     return np.frexp(ids.astype(np.float64) + 1)[1].astype(np.uint8)
 
 
@@ -44,17 +50,18 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, "<u8"), np.zeros(0, "<u4")
     widths = _widths(ids)
     best = None
-    for cutoff in _CUTOFFS:
+    for cutoff, share in ((64, 1.0), *_CUTOFFS):
         over = widths > cutoff
-        if cutoff != 32 and not over.any():
+        escapes = int(np.count_nonzero(over))
+        if best is not None and not 0 < escapes <= share * n:
             continue
         bits = np.zeros(n + 60, np.uint8)
-        bits[:n] = np.where(over, 1, widths)
+        bits[:n] = np.where(over, 1, widths) if escapes else widths
         steps = _steps(bits)
-        cost = 8 * float((1.0 / steps).sum()) + 4 * int(over.sum())
+        cost = 8 * float(_PART[steps].sum()) + 4 * escapes
         if best is None or cost < best[0]:
-            best = (cost, steps, over)
-    _, steps, over = best
+            best = (cost, steps, over, escapes)
+    _, steps, over, escapes = best
     jump, at, starts = steps.tolist(), 0, []
     while at < n:
         starts.append(at)
@@ -63,16 +70,18 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = steps[first]
     values = np.zeros(n + 60, np.uint64)
     values[:n] = ids
-    escape = np.zeros(n + 60, bool)
-    escape[:n] = over
+    if escapes:
+        values[:n][over] = _ESCAPE
     words = np.zeros(len(first), np.uint64)
     for k, (count, width) in enumerate(PACKINGS):
         mine = np.flatnonzero(counts == count)
         if not len(mine):
             continue
-        where = first[mine][:, None] + np.arange(count)
-        slots = np.where(escape[where], np.uint64((1 << width) - 1), values[where])
-        words[mine] = np.bitwise_or.reduce(slots << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1) | np.uint64((k + 1) << 60)
+        at, word = first[mine], np.full(len(mine), np.uint64((k + 1) << 60))
+        ones = np.uint64((1 << width) - 1)
+        for slot in range(count):
+            word |= np.minimum(values[at + slot], ones) << np.uint64(slot * width)
+        words[mine] = word
     return words.astype("<u8"), ids[over].astype("<u4")
 
 

@@ -41,7 +41,7 @@ _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 class _Pieces(dict):
     """Piece (without its leading space) to its ids as little-endian 32-bit bytes. At most 2 x ``most`` are held."""
 
-    def __init__(self, encoder: Encoder, most: int = 400_000) -> None:
+    def __init__(self, encoder: Encoder, most: int = 700_000) -> None:
         super().__init__()
         self.encoder, self.most, self.old = encoder, most, {}
 
