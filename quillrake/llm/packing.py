@@ -23,6 +23,8 @@ from .tokens import encoded, public_path
 
 SIZE = 2048
 SHARD_PIECES = 4096
+#: Bits of a sequence id for the window within its shard; the rest names the shard.
+WINDOW_BITS = 28
 
 
 class CapacityTree:
@@ -101,11 +103,13 @@ def _pack_rows(size: int):
         (shard,) = (k.as_py() for k in keys)
         table = table.sort_by([(c, "ascending") for c in ("id", "start", "length", "ids_crc32")])
         placed = best_fit_decreasing(table.column("length").to_pylist(), size)
+        if len(placed) >> WINDOW_BITS:
+            raise OverflowError("a shard has more pieces than a sequence id can number")
         fill: dict[int, int] = {}
         for (window, offset), n in zip(placed, table.column("length").to_pylist(), strict=True):
             fill[window] = max(fill.get(window, 0), offset + n)
         padded = {w: n if n & (n - 1) == 0 else size for w, n in fill.items()}
-        table = table.drop_columns(["shard", "shards"]).append_column("sequence_id", pa.array([(w << 24 | shard) if shard < 1 << 24 else (w << 40 | shard) for w, _ in placed], pa.int64()))
+        table = table.drop_columns(["shard", "shards"]).append_column("sequence_id", pa.array([shard << WINDOW_BITS | w for w, _ in placed], pa.int64()))
         table = table.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
         return table.append_column("sequence_length", pa.array([padded[w] for w, _ in placed], pa.int64()))
 
@@ -119,6 +123,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = max(1, -(-docs.count() // SHARD_PIECES))
     pieces = rows.mapInArrow(_cut_rows(path, size, end_id), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
-    dealt = pieces.withColumn("shards", F.lit(shards)).withColumn("shard", F.pmod(F.xxhash64("id", "start"), F.col("shards")))
+    dealt = pieces.withColumn("shards", F.lit(shards)).withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("shards")))
     out = dealt.groupBy("shard").applyInArrow(_pack_rows(size), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long")
     return out.withColumnRenamed("id", id_col)
