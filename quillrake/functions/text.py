@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _text(t: Column | str) -> Column:
     return F.col(t) if isinstance(t, str) else t
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row; a plain reference inside a lambda is computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column | str, analyzer: str = "standard") -> Column:
     """Terms of a text. ``whitespace``, ``identity``, ``standard`` (lower-case letters and digits), ``english`` (no stop words)."""
     t = _text(text)
@@ -35,13 +42,17 @@ def score_terms(text: Column | str) -> Column:
 
 def bm25_score(text: Column | str, query: Column | str) -> Column:
     """Sum over the query's terms, repeats included, of tf * 2.2 / (tf + 1.2); no corpus statistics."""
-    words = score_terms(text)
     wanted = score_terms(query if isinstance(query, Column) else F.lit(query))
-    tf = lambda q: F.size(F.filter(words, lambda w: w == q)).cast("double")
-    return F.aggregate(F.transform(wanted, lambda q: tf(q) * 2.2 / (tf(q) + 1.2)), F.lit(0.0), lambda s, x: s + x)
+
+    def scored(words: Column) -> Column:
+        def part(q: Column) -> Column:
+            return let(F.size(F.filter(words, lambda w: w == q)).cast("double"), lambda tf: tf * 2.2 / (tf + 1.2))
+
+        return F.aggregate(F.transform(wanted, part), F.lit(0.0), lambda s, x: s + x)
+
+    return let(score_terms(text), scored)
 
 
 def tf_idf(text: Column | str) -> Column:
     """Share of each distinct term, in order of first appearance."""
-    words = score_terms(text)
-    return F.transform(F.array_distinct(words), lambda t: F.size(F.filter(words, lambda w: w == t)) / F.size(words))
+    return let(score_terms(text), lambda words: F.transform(F.array_distinct(words), lambda t: F.size(F.filter(words, lambda w: w == t)) / F.size(words)))

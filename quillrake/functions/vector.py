@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 Vector = Column | str | list | tuple
 
 
@@ -134,8 +136,7 @@ def vector_norm(v: Vector) -> Column:
 def l2_normalize(v: Vector) -> Column:
     """Length one; a zero vector stays as it is."""
     v = vec(v)
-    norm = F.sqrt(_squares(v))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    return let(F.sqrt(_squares(v)), lambda norm: F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm)))
 
 
 def subvector(v: Vector, start: Column | int, count: Column | int) -> Column:
@@ -175,8 +176,8 @@ def _sparse(v: Column | str) -> Column:
 
 def sparse_to_vector(v: Column | str) -> Column:
     v = _sparse(v)
-    lookup = F.map_from_arrays(v["indices"], v["values"])
-    dense = F.transform(F.sequence(F.lit(0), v["dim"] - 1), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)).cast("double"))
+    places = F.sequence(F.lit(0), v["dim"] - 1)
+    dense = F.map_values(F.map_zip_with(F.map_from_arrays(places, places), _as_map(v), lambda k, place, x: F.coalesce(x, F.lit(0.0)).cast("double")))  # in order of places
     return F.when(v.isNull(), F.lit(None)).when(v["dim"] == 0, F.array().cast("array<double>")).otherwise(dense)
 
 
@@ -189,10 +190,14 @@ def sparse_nnz(v: Column | str) -> Column:
     return F.when(v.isNotNull(), F.size(v["indices"]))
 
 
+def _as_map(v: Column) -> Column:
+    return F.map_from_arrays(v["indices"], v["values"])
+
+
 def _sparse_terms(a: Column, b: Column, f) -> Column:
-    places = F.array_union(a["indices"], b["indices"])
-    at = lambda v, i: F.coalesce(F.try_element_at(F.map_from_arrays(v["indices"], v["values"]), i), F.lit(0.0)).cast("double")
-    return F.aggregate(F.transform(places, lambda i: f(at(a, i), at(b, i))), F.lit(0.0), lambda s, x: s + x)
+    at = lambda x: F.coalesce(x, F.lit(0.0)).cast("double")
+    both = F.map_zip_with(_as_map(a), _as_map(b), lambda k, x, y: f(at(x), at(y)))
+    return F.aggregate(F.map_values(both), F.lit(0.0), lambda s, x: s + x)
 
 
 def sparse_inner_product(a: Column | str, b: Column | str) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrake.functions.text import tokens
+from quillrake.functions.text import let, tokens
 
 K1, B = 1.2, 0.75
 
@@ -22,6 +24,10 @@ def _query_terms(df: DataFrame, query: str, analyzer: str) -> list[str]:
     return row["t"] or []
 
 
+def _equals(term: str) -> Callable[[Column], Column]:
+    return lambda w: w == term
+
+
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str, analyzer: str = "standard", k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of the documents with a query term. Term frequencies are counted in the scan, without exploding words.
 
@@ -31,7 +37,7 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, analyzer: str =
     if not terms:
         return df.select(F.col(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
     words = tokens(text_col, analyzer)
-    tf = [F.size(F.filter("__w", lambda w, t=t: w == t)).alias(f"__tf{i}") for i, t in enumerate(terms)]
+    tf = [F.size(F.filter("__w", _equals(t))).alias(f"__tf{i}") for i, t in enumerate(terms)]
     docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), words.alias("__w")).select(F.col(id_col), F.size("__w").alias("__dl"), *tf)
     stats = docs.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))])
     rows = docs.where(sum(F.col(f"__tf{i}") for i in range(len(terms))) > 0).crossJoin(F.broadcast(stats))  # one row
@@ -51,17 +57,33 @@ def phrase_search(df: DataFrame, id_col: str, text_col: str, phrase: str, slop:
     if not terms:
         return words.select(id_col, F.lit(0).cast("long").alias("freq")).where(F.lit(False))
     if slop == 0:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - len(terms) + 1, F.lit(1)))
-        want = F.array(*[F.lit(t) for t in terms])
-        hits = F.filter(starts, lambda s: F.slice("__w", s, len(terms)) == want)
+
+        def starts(ws: Column) -> Column:
+            def here(w: Column, i: Column) -> Column:
+                hit = w == terms[0]
+                for k, t in enumerate(terms[1:], 1):
+                    hit = hit & (F.get(ws, i + k) == t)
+                return F.coalesce(hit, F.lit(False))
+
+            return F.size(F.filter(ws, here))
     else:
-        places = lambda t: F.filter(F.transform("__w", lambda w, i: F.when(w == t, i)), lambda i: i.isNotNull())
-        hits = F.transform(places(terms[0]), lambda p: F.struct(p.alias("start"), p.alias("last")))
-        for t in terms[1:]:  # the nearest next place of each term leaves the most room for the rest
-            after = places(t)
-            hits = F.transform(hits, lambda h, after=after: F.struct(h["start"].alias("start"), F.array_min(F.filter(after, lambda p: p > h["last"])).alias("last")))
-        hits = F.filter(hits, lambda h: h["last"].isNotNull() & (h["last"] - h["start"] - (len(terms) - 1) <= slop))
-    return words.where(F.array_contains("__w", terms[0])).select(id_col, F.size(hits).cast("long").alias("freq")).where("freq > 0")
+
+        def starts(ws: Column) -> Column:
+            def places(t: str) -> Column:
+                return F.filter(F.transform(ws, lambda w, i: F.when(w == t, i)), lambda i: i.isNotNull())
+
+            def follow(hits: Column, t: str) -> Column:  # the nearest next place of each term leaves the most room for the rest
+                def next_place(after: Column) -> Column:
+                    return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), F.array_min(F.filter(after, lambda p: p > h["last"])).alias("last")))
+
+                return let(places(t), next_place)
+
+            hits = F.transform(places(terms[0]), lambda p: F.struct(p.alias("start"), p.alias("last")))
+            for t in terms[1:]:
+                hits = follow(hits, t)
+            return F.size(F.filter(hits, lambda h: h["last"].isNotNull() & (h["last"] - h["start"] - (len(terms) - 1) <= slop)))
+
+    return words.select(id_col, let(F.col("__w"), starts).cast("long").alias("freq")).where("freq > 0")
 
 
 def highlight(column, query_terms: list[str], before: str = "<em>", after: str = "</em>"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,8 +128,6 @@ class IvfIndex:
         return index
 
     def _assigned(self, df: DataFrame) -> DataFrame:
-        import pandas as pd
-
         centers = df.sparkSession.sparkContext.broadcast(self.centroids)  # cells x dimensions, set by the caller
 
         def cell(v: pd.Series) -> pd.Series:
