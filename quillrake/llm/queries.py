@@ -15,7 +15,7 @@ from .language_id import identify_languages
 from .lattice_dedup import embedding_links
 from .mixing import pfair_schedule
 from .packing import pack_documents
-from .shared import new_path
+from .shared import cut, new_path
 from .simhash_dedup import simhash_components
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
@@ -45,11 +45,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = write_warc(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    captures = assemble_captures(read_warc_records(spark, listed).drop("payload", "block").withColumns({"payload": F.lit(None).cast("binary"), "block": F.lit(None).cast("binary")}))
+    records = read_warc_records(spark, listed).withColumns({"payload": F.lit(None).cast("binary"), "block": F.lit(None).cast("binary")})
     main = F.col("response")
-    rows = captures.select(F.col("metadata.page_id").alias("page_id"), "record_id", main.payload_bytes.alias("payload_bytes"), main.payload_digest.alias("payload_digest"), main.kind.alias("record_type"), main.refers_to.alias("refers"))
+    rows = assemble_captures(records).select(F.col("metadata.page_id").alias("page_id"), "record_id", main.payload_bytes.alias("payload_bytes"), main.payload_digest.alias("payload_digest"), main.kind.alias("record_type"), main.refers_to.alias("refers"))
+    # Written once: the archives are read once, and joins see the table's size, not that of the list of files.
+    rows, _ = cut(rows, "captures")
     named = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
-    return rows.join(named, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = rows.where("refers IS NOT NULL").join(named, "refers", "left")
+    both = rows.where("refers IS NULL").withColumn("refers_to", F.lit(None).cast("long")).unionByName(found)
+    return both.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def _chat_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
