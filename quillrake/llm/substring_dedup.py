@@ -149,15 +149,24 @@ def _anchors(grams: np.ndarray, least: np.ndarray, inside: np.ndarray) -> np.nda
     return np.flatnonzero((most == grams) & (grams > 0))
 
 
+def _distinct(doc: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each fingerprint of a document once, with 1 or 2 for how often (2 or more) the document has it."""
+    order = np.lexsort((prints, doc))
+    doc, prints = doc[order], prints[order]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    return doc[head], prints[head], np.minimum(np.diff(np.append(head, len(doc))), 2).astype(np.int8)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in byte_slices(batches, "text", _PIECE):
         words = Words(batch.column("text"))
         grams, least, inside = words.windows()
         places = _anchors(grams, least, inside)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(words.doc[places], minlength=batch.num_rows))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[places].view(np.int64)))
+        doc, prints, times = _distinct(words.doc[places], grams[places])
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (prints.view(np.int64), times)]
         signed = [pa.array(words.whole(b).view(np.int64)) for b in _BASES]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words.counts), *signed, lists], ["id", "n_words", "h1", "h2", "anchors"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words.counts), *signed, *lists], ["id", "n_words", "h1", "h2", "anchors", "times"])
 
 
 class FingerprintLog:
@@ -183,8 +192,9 @@ class FingerprintLog:
         return self.spark.read.schema("fingerprint long, n long").parquet(path)
 
     def append(self, fingerprints: DataFrame) -> DataFrame:
-        """Add a batch as a run; returns the fingerprints in it that occur again, in the batch or in history."""
-        new = self._run(fingerprints.groupBy("fingerprint").agg(F.count("*").alias("n")))
+        """Add a batch (fingerprint, perhaps n: how often) as a run; returns its fingerprints that occur again, in the batch or in history."""
+        times = F.sum("n") if "n" in fingerprints.columns else F.count("*")
+        new = self._run(fingerprints.groupBy("fingerprint").agg(times.alias("n")))
         rows = self.read(new)
         again = rows.where("n > 1").select("fingerprint")
         for old in self.paths:
@@ -204,10 +214,10 @@ class FingerprintLog:
         self.paths = [merged]
 
 
-_SENT = 1 << 20
+_SENT = 1 << 18
 
 
-def _combined(ids: list, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+def _combined(ids: list[pa.Array], parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """One row for each distinct window, and the places of windows that repeat within these parts as further rows."""
     if not parts:
         return
@@ -223,14 +233,14 @@ def _combined(ids: list, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.Rec
     out2 = np.concatenate([h2[head], np.full(len(rest), -1, np.int32)])
     rows = np.concatenate([np.flatnonzero(head), rest])
     count = np.concatenate([total, np.full(len(rest), 2, np.int64)])
-    names = pa.array([ids[d] for d in doc[rows].tolist()], pa.int64())
+    names = pa.concat_arrays(ids).take(pa.array(doc[rows]))
     yield pa.RecordBatch.from_arrays([pa.array(out1), pa.array(out2), names, pa.array(at[rows].astype(np.int32)), pa.array(np.minimum(count, 2).astype(np.int8))], ["w1", "w2", "id", "at", "n"])
 
 
 def _suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids: list = []
+    ids: list[pa.Array] = []
     parts: list[tuple[np.ndarray, ...]] = []
-    held = 0
+    docs = held = 0
     for batch in byte_slices(batches, "text", _PIECE):
         words = Words(batch.column("text"))
         _, least, inside = words.windows()
@@ -239,12 +249,13 @@ def _suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         w1, w2 = (words.runs(WINDOW, b)[mine] for b in _BASES)
         doc = words.doc[mine]
         twice = np.array(batch.column("twice").to_pylist(), bool)
-        parts.append((w1.view(np.int64), ((w2 >> _U(33)).astype(np.int32)), doc + len(ids), mine - words.first[doc], 1 + twice[doc].astype(np.int64)))
-        ids += batch.column("id").to_pylist()
+        parts.append((w1.view(np.int64), ((w2 >> _U(33)).astype(np.int32)), doc + docs, mine - words.first[doc], 1 + twice[doc].astype(np.int64)))
+        ids.append(batch.column("id"))
+        docs += batch.num_rows
         held += len(mine)
         if held >= _SENT:
             yield from _combined(ids, parts)
-            ids, parts, held = [], [], 0
+            ids, parts, docs, held = [], [], 0, 0
     yield from _combined(ids, parts)
 
 
@@ -280,11 +291,12 @@ def repeated_windows(docs: DataFrame, log: FingerprintLog | None = None, batches
     """
     spark = docs.sparkSession
     log = log or FingerprintLog(spark)
-    prints, _ = cut(docs.mapInArrow(_fingerprints, "id long, n_words long, h1 long, h2 long, anchors array<long>"), "prints")
+    prints, _ = cut(docs.mapInArrow(_fingerprints, "id long, n_words long, h1 long, h2 long, anchors array<long>, times array<byte>"), "prints")
     suspects = None
     for b in range(batches):
         part = prints.where(F.pmod(F.xxhash64("h1", "id"), F.lit(batches)) == b)
-        again = log.append(part.select(F.explode("anchors").alias("fingerprint")))
+        pairs = F.explode(F.arrays_zip(F.col("anchors").alias("fingerprint"), F.col("times").alias("n"))).alias("x")
+        again = log.append(part.select(pairs).select("x.fingerprint", "x.n"))
         suspects = again if suspects is None else suspects.union(again)
     long = prints.where(F.col("n_words") >= WINDOW)
     same, _ = cut(long.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "same")
