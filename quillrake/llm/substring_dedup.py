@@ -178,7 +178,7 @@ class FingerprintLog:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if system.exists(path):
-            found = [x.getPath().toString() for x in system.listStatus(path)]
+            found = [f"{self.folder}/{x.getPath().getName()}" for x in system.listStatus(path)]
             done = [p for p in found if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))]
             self.paths = sorted(done, key=lambda p: int(p.rsplit("-", 1)[1]))
 
