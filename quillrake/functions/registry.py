@@ -30,7 +30,7 @@ _TF = "cast(size(filter(__ws, __w -> __w = __u)) AS DOUBLE)"
 _SPARSE = "STRUCT<indices: ARRAY<INT>, values: ARRAY<DOUBLE>, dim: INT>"
 SQL_FUNCTIONS: dict[tuple[str, ...], tuple[str, str, str]] = {
     ("dist_l2", "l2_distance", "vector_distance"): (_TWO, "DOUBLE", _SAME.format(f"sqrt({_total('(__x - __y) * (__x - __y)')})")),
-    ("dist_cosine", "cosine_distance", "vector_cosine_distance"): (_TWO, "DOUBLE", _SAME.format(f"CASE WHEN {_NORM_A} * {_NORM_B} = 0 THEN 1D ELSE greatest(0D, 1 - {_DOT} / ({_NORM_A} * {_NORM_B})) END")),
+    ("dist_cosine", "cosine_distance", "vector_cosine_distance"): (_TWO, "DOUBLE", _SAME.format(f"CASE WHEN {_NORM_A} * {_NORM_B} = 0 THEN 1D WHEN 1 - {_DOT} / ({_NORM_A} * {_NORM_B}) < 0 THEN 0D ELSE 1 - {_DOT} / ({_NORM_A} * {_NORM_B}) END")),
     ("dist_ip", "vector_inner_product"): (_TWO, "DOUBLE", _SAME.format(f"-{_DOT}")),
     ("inner_product", "dot_product"): (_TWO, "DOUBLE", _SAME.format(_DOT)),
     ("dist_l1", "l1_distance", "vector_l1_distance"): (_TWO, "DOUBLE", _SAME.format(_total("abs(__x - __y)"))),

@@ -56,8 +56,9 @@ def dist_l2(a: Vector, b: Vector) -> Column:
 def dist_cosine(a: Vector, b: Vector) -> Column:
     """1 - cosine, not below 0; 1 if a vector is zero."""
     a, b = vec(a), vec(b)
-    norm = F.sqrt(_squares(a)) * F.sqrt(_squares(b))
-    return _same(a, b, F.when(norm == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - _dot(a, b) / norm)))
+    norm, away = F.sqrt(_squares(a)) * F.sqrt(_squares(b)), 1 - _dot(a, b) / (F.sqrt(_squares(a)) * F.sqrt(_squares(b)))
+    # greatest() would take 0 for a null, that is, call a vector with a null element identical
+    return _same(a, b, F.when(norm == 0, F.lit(1.0)).when(away < 0, F.lit(0.0)).otherwise(away))
 
 
 def inner_product(a: Vector, b: Vector) -> Column:
@@ -211,7 +212,8 @@ def sparse_l2(a: Column | str, b: Column | str) -> Column:
 def sparse_cosine(a: Column | str, b: Column | str) -> Column:
     a, b = _sparse(a), _sparse(b)
     norm = F.sqrt(_squares(a["values"].cast("array<double>"))) * F.sqrt(_squares(b["values"].cast("array<double>")))
-    return F.when(norm == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - sparse_inner_product(a, b) / norm))
+    away = 1 - sparse_inner_product(a, b) / norm
+    return F.when(norm == 0, F.lit(1.0)).when(away < 0, F.lit(0.0)).otherwise(away)
 
 
 def hybrid_score(dense: Column, sparse: Column, alpha: float) -> Column:

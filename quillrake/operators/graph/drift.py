@@ -108,7 +108,7 @@ def _checked(edges: DataFrame) -> DataFrame:
 def drift_search(edges: DataFrame, top_communities: Sequence[int] | None = None, settings: DriftSettings = DriftSettings()) -> DataFrame:
     """(node): nodes found from the members with most neighbours of the communities, by default of the largest five.
 
-    Communities are named by a member, as label propagation does.
+    A community is named by any of its members.
     """
 
     def work(g: Csr) -> dict:
@@ -119,7 +119,7 @@ def drift_search(edges: DataFrame, top_communities: Sequence[int] | None = None,
             names, n = np.unique(label, return_counts=True)
             chosen = _best(names, n.astype(float), 5)
         else:
-            chosen = g.index(top_communities).tolist()
+            chosen = np.unique(label[g.index(top_communities)]).tolist()
         members = np.flatnonzero(np.isin(label, chosen))
         seeds = _best(members, np.diff(g.start)[members].astype(float), settings.first_seeds)
         return {"node": g.nodes[_drift(g, label, seeds, settings)] if seeds else []}

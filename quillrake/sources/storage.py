@@ -26,7 +26,7 @@ class Storage:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def full(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return name if "://" in name or name.startswith("/") else f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
         return bool(self._fs.exists(self._path(name)))

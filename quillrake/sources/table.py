@@ -18,10 +18,15 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillrake.functions.jsonfn import json_entries, json_path_query
+from quillrake.operators.fulltext import postings
+from quillrake.operators.retrieval import IvfIndex, knn
+
 from . import transforms
 from .storage import AlreadyThere, Storage
 
@@ -58,7 +63,7 @@ class Table:
         """A new empty table; an error if there is one. ``partition_by``: names or (name, transform)."""
         schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         columns = [{"id": i + 1, "name": f.name, "physical": f.name, "type": json.loads(f.dataType.json()), "nullable": f.nullable, "added": 0, "default": None} for i, f in enumerate(schema.fields)]
-        state = {"version": 0, "parent": None, "operation": "create", "time": time.time(), "columns": columns, "next_id": len(columns) + 1, "partition_by": [], "primary_key": list(primary_key), "sort_order": [], "properties": dict(properties or {}), "indexes": {}, "files": []}
+        state = {"version": 0, "parent": None, "operation": "create", "time": time.time(), "columns": columns, "next_id": len(columns) + 1, "partition_by": [], "primary_key": list(primary_key), "sort_order": [], "properties": dict(properties or {}), "indexes": {}, "deletes": [], "files": []}
         storage = Storage(spark, path.rstrip("/"))
         for p in partition_by:
             name, how = (p, "identity") if isinstance(p, str) else p
@@ -80,6 +85,27 @@ class Table:
         table.append(df)
         return table
 
+    @classmethod
+    def mount(cls, spark: SparkSession, files: str, path: str) -> Table:
+        """A table over Parquet files that stay where they are; ``sync`` takes up what has come or gone since."""
+        t = cls.create(spark, path, spark.read.parquet(files).schema, properties={"mounted": files})
+        t.sync()
+        return t
+
+    def sync(self) -> int:
+        """Follow the files of a mounted table. Nothing is copied; the files are not this table's to delete."""
+        source = Storage(self.spark, self.state["properties"]["mounted"])
+        there = {source.full(n): b for n, b in source.files("").items() if n.endswith(".parquet") and not n.split("/")[-1].startswith(("_", "."))}
+        known = {f["path"]: f for f in self.state["files"]}
+        if {p: f["bytes"] for p, f in known.items()} == there:
+            return self.version
+        counts = {}
+        if fresh := [p for p in there if p not in known or known[p]["bytes"] != there[p]]:
+            rows = self.spark.read.schema(self.schema).parquet(*fresh).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count("*").alias("n"))
+            counts = {unquote(urlparse(r["p"]).path): r["n"] for r in rows.collect()}
+        new = [known[p] if p in known and known[p]["bytes"] == there[p] else {"path": p, "rows": counts.get(unquote(urlparse(p).path), 0), "bytes": there[p], "version": self.version + 1, "stats": {}} for p in sorted(there)]
+        return self._commit("sync", lambda s: s | {"files": new})
+
     def _refs(self) -> dict[str, int]:
         return self.storage.read("_refs.json") if self.storage.exists("_refs.json") else {}
 
@@ -249,19 +275,43 @@ class Table:
         return self._load(version)
 
     def _read(self, state: dict, files: list[dict], extra: Sequence[Column] = ()) -> DataFrame:
-        """Rows of some files in the columns of ``state``; columns that are younger than a file have their default."""
+        """Rows of some files in the columns of ``state``; columns that are younger than a file have their default.
+
+        Rows that a delete file names (by file and row, or by key) are left out with anti-joins.
+        """
         groups: dict[tuple, list[str]] = {}
         for f in files:
             young = tuple(c["id"] for c in state["columns"] if c["default"] is not None and f["version"] < c["added"])
-            groups.setdefault(young, []).append(self.storage.full(f["path"]))
+            gone = tuple(i for i, d in enumerate(state["deletes"]) if f["version"] < d["version"])
+            groups.setdefault((young, gone), []).append(self.storage.full(f["path"]))
         physical = T.StructType([T.StructField(c["physical"], self._type(c), True) for c in state["columns"]])
         parts = []
-        for young, paths in groups.items() or [((), [])]:
+        for (young, gone), paths in groups.items() or [(((), ()), [])]:
             rows = self.spark.read.schema(physical).parquet(*paths) if paths else self.spark.createDataFrame([], physical)
+            if gone:
+                rows = self._without(rows.withColumns({"__name": self._file_name(), "__row": F.col("_metadata.row_index"), "__path": F.col("_metadata.file_path")}), [state["deletes"][i] for i in gone])
+                extra_here = [F.col("__path").alias("__file")] if extra else []
+            else:
+                extra_here = list(extra)
             given = lambda c: F.lit(c["default"]).cast(self._type(c)) if c["id"] in young else F.col(f"`{c['physical']}`")  # noqa: B023, E731
-            parts.append(rows.select(*[given(c).alias(c["name"]) for c in state["columns"]], *(extra if paths else [F.lit(None).cast("string").alias("__file")] if extra else [])))
+            parts.append(rows.select(*[given(c).alias(c["name"]) for c in state["columns"]], *(extra_here if paths else [F.lit(None).cast("string").alias("__file")] if extra else [])))
         return functools.reduce(DataFrame.unionByName, parts)
 
+    @staticmethod
+    def _file_name() -> Column:
+        """A file's name within the table, as delete files hold it."""
+        return F.regexp_extract("_metadata.file_path", r"data/[0-9a-f]{32}/.*$", 0)
+
+    def _without(self, rows: DataFrame, deletes: list[dict]) -> DataFrame:
+        for d in deletes:
+            gone = self.spark.read.parquet(self.storage.full(d["path"]))
+            if d["kind"] == "position":
+                rows = rows.join(gone.withColumnsRenamed({"name": "__name", "row": "__row"}), ["__name", "__row"], "left_anti")
+            else:
+                named = gone.toDF(*[f"__d{i}" for i in range(len(d["columns"]))])
+                rows = rows.join(named, functools.reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"__d{i}")) for i, c in enumerate(d["columns"])]), "left_anti")
+        return rows
+
     def df(self, version: int | None = None, timestamp: float | None = None, where: Column | str | None = None, ranges: Mapping[str, tuple[Any, Any]] | None = None) -> DataFrame:
         """Rows of a snapshot. ``where`` is pushed into the scan; ``ranges`` (column: (least, largest)) first leave out files by their statistics."""
         state = self.at(version, timestamp)
@@ -289,13 +339,33 @@ class Table:
             raise ValueError(f"the key is {names}")
         return self.df(ranges={n: (k, k) for n, k in zip(names, keys, strict=True)})
 
+    def splits(self, most_bytes: int = 128 << 20, ranges: Mapping[str, tuple[Any, Any]] | None = None) -> list[list[str]]:
+        """Names of files in groups of about ``most_bytes``, for readers that share out the work; ``read_split`` takes one."""
+        out: list[list[str]] = []
+        size = most_bytes
+        for f in self.state["files"]:
+            if not self._may_hold(f, ranges or {}):
+                continue
+            if size + f["bytes"] > most_bytes:
+                out.append([])
+                size = 0
+            out[-1].append(f["path"])
+            size += f["bytes"]
+        return out
+
+    def read_split(self, split: Sequence[str]) -> DataFrame:
+        return self._read(self.state, [f for f in self.state["files"] if f["path"] in set(split)])
+
     # writing
 
-    def _checked(self, df: DataFrame) -> DataFrame:
+    def _shaped(self, df: DataFrame) -> DataFrame:
         unknown = set(df.columns) - set(self.columns)
         if unknown:
             raise ValueError(f"unknown columns {sorted(unknown)}")
-        rows = df.select(*[(F.col(f"`{c['name']}`") if c["name"] in df.columns else F.lit(c["default"])).cast(self._type(c)).alias(c["name"]) for c in self.state["columns"]])
+        return df.select(*[(F.col(f"`{c['name']}`") if c["name"] in df.columns else F.lit(c["default"])).cast(self._type(c)).alias(c["name"]) for c in self.state["columns"]])
+
+    def _checked(self, df: DataFrame) -> DataFrame:
+        rows = self._shaped(df)
         bad = [(F.col(c["name"]).isNull(), f"{c['name']} is null") for c in self.state["columns"] if not c["nullable"]]
         for name, dim in self.state["properties"].get("vector_dimensions", {}).items():
             bad.append((F.col(name).isNotNull() & (F.size(name) != int(dim)), f"{name} does not have {dim} dimensions"))
@@ -327,7 +397,11 @@ class Table:
         if order:
             named = named.sortWithinPartitions(*[F.col(f"`{c}`") for c in order])
         try:
-            (named.write.partitionBy(*parts) if parts else named.write).parquet(self.storage.full(folder))
+            writer = named.write.partitionBy(*parts) if parts else named.write
+            for entry in state["indexes"].values():
+                if entry["kind"] in ("bloom", "inverted") and entry["column"] in physical:
+                    writer = writer.option(f"parquet.bloom.filter.enabled#{physical[entry['column']]}", "true")
+            writer.parquet(self.storage.full(folder))
         except Exception as e:
             self.storage.delete(folder)
             if m := re.search(r"constraint: ([^\n\"]+)", str(e)):
@@ -352,8 +426,9 @@ class Table:
     def append(self, df: DataFrame) -> int:
         rows, key = self._checked(df), self.state["primary_key"]
         if key:
-            self._unique(rows, key)
-            if self.df().join(rows.select(*key), key, "left_semi").limit(1).count():
+            keys = self._shaped(df).select(*key)
+            self._unique(keys, key)
+            if self.df().join(keys, key, "left_semi").limit(1).count():
                 raise ConstraintError(f"a key {key} is in the table already")
         files = self._write(rows)
         return self._commit("append", lambda s: s | {"files": s["files"] + [f | {"version": s["version"] + 1} for f in files]}, retry=not key)
@@ -361,12 +436,12 @@ class Table:
     def overwrite(self, df: DataFrame) -> int:
         rows = self._checked(df)
         if self.state["primary_key"]:
-            self._unique(rows, self.state["primary_key"])
+            self._unique(self._shaped(df), self.state["primary_key"])
         files = self._write(rows)
-        return self._commit("overwrite", lambda s: s | {"files": files})
+        return self._commit("overwrite", lambda s: s | {"files": files, "deletes": []})
 
     def truncate(self) -> int:
-        return self._commit("truncate", lambda s: s | {"files": []})
+        return self._commit("truncate", lambda s: s | {"files": [], "deletes": []})
 
     def _with_files(self, files: list[dict] | None = None) -> DataFrame:
         return self._read(self.state, self.state["files"] if files is None else files, [F.col("_metadata.file_path").alias("__file")])
@@ -379,7 +454,13 @@ class Table:
     def _rewritten(self, operation: str, touched: list[dict], rows: DataFrame) -> int:
         gone = {f["path"] for f in touched}
         new = self._write(rows)
-        return self._commit(operation, lambda s: s | {"files": [f for f in s["files"] if f["path"] not in gone] + new})
+
+        def change(s: dict) -> dict:
+            kept = [f for f in s["files"] if f["path"] not in gone]
+            oldest = min((f["version"] for f in kept), default=s["version"] + 1)
+            return s | {"files": kept + new, "deletes": [d for d in s["deletes"] if oldest < d["version"]]}
+
+        return self._commit(operation, change)
 
     def delete(self, where: Column | str | None = None) -> int:
         """Remove the rows for which ``where`` is true; those for which it is null stay. Returns rows removed."""
@@ -395,6 +476,28 @@ class Table:
         self._rewritten("delete", touched, self._read(self.state, touched).where(~hit))
         return before - self.row_count()
 
+    def delete_on_read(self, where: Column | str | None = None, keys: DataFrame | None = None) -> int:
+        """Write a small delete file instead of rewriting data: rows by position (``where``) or by equal columns (``keys``).
+
+        Readers leave the rows out; ``compact`` or any rewrite applies them. Returns the version.
+        """
+        folder = f"deletes/{uuid.uuid4().hex}"
+        if keys is not None:
+            physical = [self._column(self.state, c)["physical"] for c in keys.columns]
+            keys.distinct().toDF(*physical).write.parquet(self.storage.full(folder))
+            entry = {"path": folder, "kind": "equality", "columns": physical}
+        else:
+            hit = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
+            physical = T.StructType([T.StructField(c["physical"], self._type(c), True) for c in self.state["columns"]])
+            paths = [self.storage.full(f["path"]) for f in self.state["files"]]
+            if not paths:
+                return self.version
+            rows = self.spark.read.schema(physical).parquet(*paths).withColumns({"__name": self._file_name(), "__row": F.col("_metadata.row_index")})
+            named = rows.select("__name", "__row", *[F.col(f"`{c['physical']}`").alias(c["name"]) for c in self.state["columns"]])
+            named.where(hit).select(F.col("__name").alias("name"), F.col("__row").alias("row")).write.parquet(self.storage.full(folder))
+            entry = {"path": folder, "kind": "position", "columns": []}
+        return self._commit("delete on read", lambda s: s | {"deletes": s["deletes"] + [entry | {"version": s["version"] + 1}]})
+
     def update(self, values: Mapping[str, Column | str | Any], where: Column | str | None = None) -> int:
         """Set columns of the rows for which ``where`` is true; texts are expressions. Returns rows changed."""
         hit = F.lit(True) if where is None else F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
@@ -497,15 +600,16 @@ class Table:
         """
         a, b = self._load(since), self._load(self.version if until is None else until)
         before, after = {f["path"] for f in a["files"]}, {f["path"] for f in b["files"]}
-        old = self._read(b, [f for f in a["files"] if f["path"] not in after])
-        new = self._read(b, [f for f in b["files"] if f["path"] not in before])
-        added, removed = (new, old) if not (before - after) else (new.exceptAll(old), old.exceptAll(new))
+        marked = a["deletes"] != b["deletes"]  # then files in both may hold rows in one only
+        old = self._read(a | {"columns": b["columns"]}, [f for f in a["files"] if marked or f["path"] not in after])
+        new = self._read(b, [f for f in b["files"] if marked or f["path"] not in before])
+        added, removed = (new, old) if not marked and not (before - after) else (new.exceptAll(old), old.exceptAll(new))
         return added.withColumn("_change", F.lit("insert")).unionByName(removed.withColumn("_change", F.lit("delete"))).select("_change", *[c["name"] for c in b["columns"]])
 
     # maintenance
 
     def row_count(self) -> int:
-        return sum(f["rows"] for f in self.state["files"])
+        return self.df().count() if self.state["deletes"] else sum(f["rows"] for f in self.state["files"])
 
     def statistics(self) -> dict[str, Any]:
         files = self.state["files"]
@@ -513,8 +617,9 @@ class Table:
 
     def compact(self, target_bytes: int = TARGET_FILE_BYTES) -> int:
         """Rewrite files smaller than half the target together; large ones stay."""
-        small = [f for f in self.state["files"] if f["bytes"] < target_bytes // 2]
-        if len(small) < 2:
+        stale = min((d["version"] for d in self.state["deletes"]), default=0)
+        small = [f for f in self.state["files"] if f["bytes"] < target_bytes // 2 or any(f["version"] < d["version"] for d in self.state["deletes"])]
+        if len(small) < 2 and not (small and stale):
             return self.version
         n = max(1, -(-sum(f["bytes"] for f in small) // target_bytes))
         return self._rewritten("compact", small, self._read(self.state, small).repartition(n))
@@ -542,7 +647,9 @@ class Table:
         """Delete data files that no version names and that are old enough not to be part of a running write."""
         named = {f["path"] for v in self.versions() for f in self._load(v)["files"]}
         limit = time.time() - older_than_seconds
+        marks = tuple(d["path"] + "/" for v in self.versions() for d in self._load(v)["deletes"])
         gone = [n for n in self.storage.files("data") if n not in named and self.storage.modified(n) <= limit]
+        gone += [n for n in self.storage.files("deletes") if not n.startswith(marks or ("\0",)) and self.storage.modified(n) <= limit]
         for n in gone:
             self.storage.delete(n)
         return gone
@@ -559,25 +666,47 @@ class Table:
     # derived structures
 
     def create_index(self, name: str, kind: str, column: str, **options: Any) -> int:
-        """Register a derived structure: bm25 (postings), ivf (vector cells), json (paths). Others rest on Parquet statistics.
+        """Register a derived structure: bm25 (postings), ivf (vector cells), json (paths and values), graph (sorted distinct edges).
 
-        It is built for the current version and used only for that version, so it never changes an answer.
+        The scalar kinds (bitmap, composite, bloom, inverted) rest on Parquet: files written from then on have Bloom filters for
+        bloom and inverted, and all have statistics. Structures are built for the current version and used only while the
+        files are the same, so they never change an answer.
         """
-        from quillrake.operators.fulltext import postings
-        from quillrake.operators.retrieval import IvfIndex
-
         path = f"index/{name}-{uuid.uuid4().hex[:8]}"
+        where = self.storage.full(path)
         key = options.pop("id_col", None) or (self.state["primary_key"] or [self.columns[0]])[0]
+        for c in column.split(","):
+            self._column(self.state, c)
         if kind == "bm25":
-            postings(self.df(), key, column, options.get("analyzer", "standard")).write.parquet(self.storage.full(path))
+            postings(self.df(), key, column, options.get("analyzer", "standard")).repartition("term").sortWithinPartitions("term").write.parquet(where)
         elif kind == "ivf":
-            index = IvfIndex.build(self.df(), column, key, self.storage.full(path), **options)
+            index = IvfIndex.build(self.df(), column, key, where, **options)
             options = {"centroids": index.centroids.tolist()}
-        elif kind not in ("bitmap", "bloom", "inverted", "composite", "json"):
+        elif kind == "json":
+            json_entries(self.df(), key, column).repartition("path").sortWithinPartitions("path", "value").write.parquet(where)
+        elif kind == "graph":
+            source, target = column.split(",") if "," in column else (column, options["target"])
+            self.df().select(F.col(source).cast("long").alias("source"), F.col(target).cast("long").alias("target")).dropna().distinct().repartition("source").sortWithinPartitions("source", "target").write.parquet(where)
+        elif kind not in ("bitmap", "bloom", "inverted", "composite"):
             raise ValueError(f"unknown index kind {kind!r}")
         entry = {"kind": kind, "column": column, "id_col": key, "path": path, "options": options}
         return self._commit("create index", lambda s: s | {"indexes": s["indexes"] | {name: entry | {"version": s["version"] + 1}}})
 
+    def json_lookup(self, column: str, path: str, value: str, index: str | None = None) -> DataFrame:
+        """Rows whose JSON has the value (as JSON text) at a path without wildcards, by a fresh json index or by a scan."""
+        entry = self.index(index) if index else None
+        if entry and entry["kind"] == "json" and entry["column"] == column:
+            ids = self.spark.read.parquet(self.storage.full(entry["path"])).where((F.col("path") == path) & (F.col("value") == value)).select(F.col("id").alias(entry["id_col"])).distinct()
+            return self.df().join(ids, entry["id_col"], "left_semi")
+        return self.df().where(F.array_contains(json_path_query(F.col(column), path), value))
+
+    def edges(self, index: str | None = None, source: str = "source", target: str = "target") -> DataFrame:
+        """(source, target) of an edge table, from a fresh graph index where one is named."""
+        entry = self.index(index) if index else None
+        if entry and entry["kind"] == "graph":
+            return self.spark.read.parquet(self.storage.full(entry["path"]))
+        return self.df().select(F.col(source).cast("long").alias("source"), F.col(target).cast("long").alias("target")).dropna()
+
     def drop_index(self, name: str) -> int:
         if name not in self.state["indexes"]:
             raise ValueError(f"no index {name!r}")
@@ -594,10 +723,6 @@ class Table:
 
     def vector_search(self, column: str, query: Sequence[float], k: int, index: str | None = None, probes: int = 8, **options: Any) -> DataFrame:
         """Exact unless a fresh ivf index is named."""
-        import numpy as np
-
-        from quillrake.operators.retrieval import IvfIndex, knn
-
         entry = self.index(index) if index else None
         key = (self.state["primary_key"] or [self.columns[0]])[0]
         if entry and entry["kind"] == "ivf":
