@@ -1,11 +1,13 @@
 """SimHash near-duplicates: exact links within a Hamming radius by a forest of vantage-point trees.
 
-One tree over 64-bit codes prunes badly: their distances to any point lie close together, so each split sends about
-half of the queries down both branches. The radius is therefore shared out first. The bits fall into ``radius + 2``
-blocks; two codes within ``radius`` agree on at least two blocks, so each pair of blocks has one tree of its own, on
-the bits of that pair, in which the search radius is what is left: zero. A tree's levels are seeded vantage points.
-By the triangle bound |d(x, v) - d(y, v)| <= d(x, y), a search visits only the shells within its radius of its own
-distance at each level (``probes`` lists them; for radius zero one), and the path of shells names the shard.
+A tree's levels are seeded vantage points; a code's distances to them name its shard. By the triangle bound
+|d(x, v) - d(y, v)| <= d(x, y) a search leaves out every shell further from its own than the search radius, and visits
+the shards of the others (``probe_moves``), which are those that overlap its ball.
+
+One tree over 64-bit codes prunes badly: their distances to any point lie close together, so each level sends a search
+down several shells. The radius is therefore shared out first. The bits fall into ``radius + 2`` blocks; two codes within
+``radius`` agree on at least two blocks, so each pair of blocks has one tree of its own, on the bits of that pair, in which
+the search radius is what is left: zero, and a search visits one shard. Other masks leave a ``slack`` above zero.
 
 Shards of up to ``LEAF`` codes are compared in full inside one task. Larger ones (dense clusters), for a radius of two
 or less, take an exact way that is linear in their size: two codes lie within two bits if and only if their balls of
@@ -20,13 +22,12 @@ columns are not read.
 from __future__ import annotations
 
 import itertools
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Forest, byte_slices, components, cut
@@ -88,14 +89,44 @@ def tree_masks(radius: int) -> list[int]:
     return [_signed(sum(1 << int(b) for k in pair for b in blocks[k])) for pair in itertools.combinations(range(radius + 2), 2)]
 
 
-def shard_path(code: Column, mask: int, points: list[int]) -> Column:
-    """The shells of a code around each vantage point in a tree's bits, as one number."""
-    path = F.lit(0).cast("long")
+_SHELLS = 131  # more than the shells of 64 bits with any slack on both sides
+
+
+def shard_path(codes: np.ndarray, mask: int, points: list[int]) -> np.ndarray:
+    """The shells of unsigned codes around each vantage point in a tree's bits, as one number."""
+    path, bits = np.zeros(len(codes), np.uint64), np.uint64(mask % 2**64)
     for v in points:
-        path = path * F.lit(41) + F.bit_count(code.bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(mask))).cast("long")
+        path = path * np.uint64(_SHELLS) + np.bitwise_count((codes ^ np.uint64(v % 2**64)) & bits).astype(np.uint64)
     return path
 
 
+def probe_moves(levels: int, slack: int) -> list[int]:
+    """From a code's own shard to those that a ball of radius ``slack`` can overlap, by the triangle bound at each level."""
+    return [sum(m * _SHELLS**i for i, m in enumerate(by)) for by in itertools.product(range(-slack, slack + 1), repeat=levels)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _sharded(masks: list[int], points: list[int], slack: int):
+    """Every row once for each shard it stands in; the trees are numbers here, so plans stay small however many there are."""
+    moves = probe_moves(len(points), slack)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("code").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for t, mask in enumerate(masks):
+                path, name = shard_path(codes, mask, points), np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)
+                for m in moves:
+                    shard = _mixed(_mixed(path + np.uint64(m % 2**64)) + name)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), *batch.columns], ["shard", *batch.schema.names])
+
+    return run
+
+
 def _leaf_links(radius: int, similarity: float | None):
     """Spanning links of every group of at most 2 x ``LEAF`` codes; of two blocks, those between them are compared."""
 
@@ -140,18 +171,19 @@ def _midpoint_links(dense: DataFrame, radius: int) -> DataFrame:
     return low.select(F.explode("all").alias("a"), "b").where("a <> b")
 
 
-def code_links(nodes: DataFrame, radius: int = 2, masks: list[int] | None = None, similarity: float | None = None) -> DataFrame:
+def code_links(nodes: DataFrame, radius: int = 2, masks: list[int] | None = None, similarity: float | None = None, slack: int = 0, levels: int = LEVELS) -> DataFrame:
     """(a, b) spanning the links between distinct codes of ``nodes`` (node, code[, sketch]) within ``radius`` bits.
 
-    Without ``masks`` the trees are ``tree_masks`` and no link is missed. With ``similarity`` the sketches of both ends
-    must resemble each other that much too.
+    Without ``masks`` the trees are ``tree_masks`` and no link is missed. Masks of which one always holds at most ``slack``
+    of the differing bits miss none either; a code then stands in (2 slack + 1) ** levels shards, so take few ``levels``. With
+    ``similarity`` the sketches of both ends must resemble each other that much too.
     """
-    points, extra = vantage_points(), ["sketch"] if similarity is not None else []
-    paths = F.array(*[F.struct(F.lit(t).alias("tree"), shard_path(F.col("code"), m, points).alias("path")) for t, m in enumerate(masks or tree_masks(radius))])
-    rows = nodes.withColumn("at", F.explode(paths)).select(F.xxhash64("at.tree", "at.path").alias("shard"), "node", "code", *extra)
-    full = rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    extra = ["sketch"] if similarity is not None else []
+    deal = _sharded(masks or tree_masks(radius), vantage_points(levels), slack)
+    full = nodes.select("node", "code").mapInArrow(deal, "shard long, node long, code long").groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     full, _ = cut(full, "shards")
-    members = rows.join(full, "shard")
+    rows = nodes.select("node", "code", *extra).mapInArrow(deal, "shard long, node long, code long" + (", sketch binary" if extra else ""))
+    members = rows.hint("merge").join(full, "shard")  # sizes are estimated from before the dealing, so nothing is broadcast
     linear = radius <= 2 and similarity is None
     small = members.where(F.col("n") <= LEAF) if linear else members
     parts = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
