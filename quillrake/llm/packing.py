@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoded, public_path
+from .tokens import CACHE_PIECES, encoded, public_path
 
 SIZE = 2048
 SHARD_PIECES = 4096
@@ -79,12 +79,12 @@ def best_fit_decreasing(lengths: list[int], size: int = SIZE) -> list[tuple[int,
     return out
 
 
-def _cut_rows(path: str, size: int, end: int):
+def _cut_rows(path: str, size: int, end: int, cache: int):
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, start, length, crc, total = [], [], [], [], []
             ids = batch.column("id").to_pylist()
-            for i, data in encoded(batch, "text", path, end):
+            for i, data in encoded(batch, "text", path, end, cache):
                 view, n = memoryview(data), len(data) // 4
                 for s in range(0, n, size):
                     part = view[4 * s : 4 * (s + size)]
@@ -116,13 +116,16 @@ def _pack_rows(size: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length (with padding)."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 1, tokenizer: str | None = None, cache: int = CACHE_PIECES) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length (with padding).
+
+    ``cache`` bounds what a worker remembers of pieces already encoded; a smaller one costs time and never results.
+    """
     path = tokenizer or public_path()
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = max(1, -(-docs.count() // SHARD_PIECES))
-    pieces = rows.mapInArrow(_cut_rows(path, size, end_id), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = rows.mapInArrow(_cut_rows(path, size, end_id, cache), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     dealt = pieces.withColumn("shards", F.lit(shards)).withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("shards")))
     out = dealt.groupBy("shard").applyInArrow(_pack_rows(size), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long")
     return out.withColumnRenamed("id", id_col)

@@ -10,7 +10,6 @@ import functools
 import json
 import re
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,14 @@ _OPEN = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
+#: Pieces remembered by a worker unless a caller says otherwise: 140 MB, or twice that while old ones are looked up.
+CACHE_PIECES = 700_000
+
+
 class _Pieces(dict):
     """Piece (without its leading space) to its ids as little-endian 32-bit bytes. At most 2 x ``most`` are held."""
 
-    def __init__(self, encoder: Encoder, most: int = 700_000) -> None:
+    def __init__(self, encoder: Encoder, most: int) -> None:
         super().__init__()
         self.encoder, self.most, self.old = encoder, most, {}
 
@@ -57,7 +60,7 @@ class _Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE_PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -70,7 +73,7 @@ class Encoder:
         self.by_piece = kind["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer") and not kind["model"].get("dropout")
         self.alphabet = _byte_alphabet()
         self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
-        self.pieces = _Pieces(self)
+        self.pieces = _Pieces(self, cache)
 
     def _slow(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -106,18 +109,14 @@ class Encoder:
         return first + b"".join(map(self.pieces.__getitem__, parts[1:]))
 
 
-@functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@functools.lru_cache(1)
+def encoder(path: str, cache: int = CACHE_PIECES) -> Encoder:
+    return Encoder(path, cache)
 
 
-def encoded(batch: pa.RecordBatch, text: str, path: str, end: int | None) -> Iterator[tuple[int, bytes]]:
+def encoded(batch: pa.RecordBatch, text: str, path: str, end: int | None, cache: int = CACHE_PIECES) -> Iterator[tuple[int, bytes]]:
     """(row of the batch, ids with the end id) for each row; a null text has none but the end id."""
-    enc = encoder(path)
+    enc = encoder(path, cache)
     tail = b"" if end is None else int(end).to_bytes(4, "little")
     for i, t in enumerate(batch.column(text).to_pylist()):
         yield i, enc.ids(t or "") + tail
-
-
-def column(values: list[Any], kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
