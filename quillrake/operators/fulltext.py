@@ -36,9 +36,13 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, analyzer: str =
     terms = list(dict.fromkeys(_query_terms(df, query, analyzer)))
     if not terms:
         return df.select(F.col(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
-    words = tokens(text_col, analyzer)
-    tf = [F.size(F.filter("__w", _equals(t))).alias(f"__tf{i}") for i, t in enumerate(terms)]
-    docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), words.alias("__w")).select(F.col(id_col), F.size("__w").alias("__dl"), *tf)
+    named = [f"__tf{i}" for i in range(len(terms))]
+
+    def counted(words: Column) -> Column:
+        return F.struct(F.size(words).alias("__dl"), *[F.size(F.filter(words, _equals(t))).alias(n) for t, n in zip(terms, named, strict=True)])
+
+    # Bound once: a plain reference to the words would tokenise the text again for each count.
+    docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), let(tokens(text_col, analyzer), counted).alias("__c")).select(F.col(id_col), *[F.col(f"__c.{n}").alias(n) for n in ("__dl", *named)])
     stats = docs.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))])
     rows = docs.where(sum(F.col(f"__tf{i}") for i in range(len(terms))) > 0).crossJoin(F.broadcast(stats))  # one row
     norm = 1 - b + b * F.col("__dl") / F.col("__avg")
