@@ -252,8 +252,9 @@ def subset_masks(trees: int, bits: int, seed: int = 11) -> list[int]:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = STAGE_RADIUS, trees: int = STAGE_TREES, bits: int = STAGE_BITS, shingle: int = 3) -> DataFrame:
     """(id, component_id) of documents whose sets of five-word shingles resemble each other by ``similarity`` or more.
 
-    A similarity of 0.8 leaves about 11 of 64 bits between codes, so the forest searches that radius on subsets of
-    the bits (about 0.97 of the pairs at 0.8 and all but a few above 0.85 share a shard), and a link also needs the
+    A similarity of 0.8 leaves 7 to 8 of 64 bits between codes on average and more than 11 for a few pairs. The forest searches
+    a radius of 11 on subsets of the bits: simulated on random words, 91 to 95 % of the pairs at 0.8 are met, 96 % at 0.84, 98 % at
+    0.88 and nearly all above 0.9. A pair that is not met may still be joined through a third text. A link also needs the
     sketches to agree: 128 minima estimate the similarity with a standard error of 0.035. The first pass
     moves codes alone; sketches travel only for documents that have a neighbour.
     """
