@@ -107,10 +107,16 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return local.join(counts, ["__source", "__n"]).withColumn("__rank", F.col("__local") + F.col("__before")).drop("__local", "__before", "__n")
 
 
+def mixed_places(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 16, period: int = 4096) -> DataFrame:
+    """(__id, __slot, __place) of each id once: its first place in the schedule. The same rows have the same places in any order."""
+    rows = pfair_schedule(docs, weights, id_col, source_col, block_docs, period).select(F.col(id_col).alias("__id"), F.col("slot").alias("__slot"), F.col("place").alias("__place"))
+    order, _ = cut(rows.groupBy("__id").agg(F.min(F.struct("__slot", "__place")).alias("__at")).select("__id", "__at.*"), "mix")
+    return order
+
+
 def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 16, period: int = 4096) -> DataFrame:
     """The rows of ``docs`` in the order of the schedule: range-partitioned by slot and sorted, columns unchanged."""
     columns = docs.columns
-    order, _ = cut(pfair_schedule(docs, weights, id_col, source_col, block_docs, period).select(F.col(id_col).alias("__id"), F.col("slot").alias("__slot"), F.col("place").alias("__place")).distinct(), "mix")
-    order = order.groupBy("__id").agg(F.min(F.struct("__slot", "__place")).alias("__at"))
+    order = mixed_places(docs, weights, id_col, source_col, block_docs, period).select("__id", F.struct("__slot", "__place").alias("__at"))
     out = docs.join(order, docs[id_col].eqNullSafe(order["__id"]))
     return out.repartitionByRange("__at").sortWithinPartitions("__at", id_col).select(*columns)

@@ -5,6 +5,9 @@ A document is first cut into full windows; what is left over is one piece. Piece
 still holds it, found in a segment tree indexed by remaining capacity. Only lengths travel: the text is encoded in
 the task that reads it. Shards are alike at every size; their number follows the number of documents.
 
+With the places of a mixture the shards are ranges of its slots instead, numbered in that order, and a shard numbers its
+windows by their first pieces. So sequences in order of their ids go through the mixture shard by shard.
+
 A sequence counts as padded to ``size`` unless the ids in it are a power of two. Null and empty texts have the end
 id alone. Rows that repeat an id are packed as separate documents with equal rows told apart by their order.
 An empty table gives an empty result; only the two named columns are read.
@@ -23,6 +26,8 @@ from .tokens import CACHE_PIECES, encoded, public_path
 
 SIZE = 2048
 SHARD_PIECES = 4096
+#: Slots that stay together when a mixture is cut into shards.
+SHARD_SLOTS = 64
 #: Bits of a sequence id for the window within its shard; the rest names the shard.
 WINDOW_BITS = 28
 
@@ -98,34 +103,63 @@ def _cut_rows(path: str, size: int, end: int, cache: int):
     return cut_batches
 
 
-def _pack_rows(size: int):
+def _by_first_piece(placed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same windows, numbered in the order in which their first pieces stand."""
+    number: dict[int, int] = {}
+    for w, _ in placed:
+        number.setdefault(w, len(number))
+    return [(number[w], offset) for w, offset in placed]
+
+
+def _pack_rows(size: int, places: list[str]):
     def pack(keys: tuple, table: pa.Table) -> pa.Table:
         (shard,) = (k.as_py() for k in keys)
-        table = table.sort_by([(c, "ascending") for c in ("id", "start", "length", "ids_crc32")])
+        table = table.sort_by([(c, "ascending") for c in (*places, "id", "start", "length", "ids_crc32")])
         placed = best_fit_decreasing(table.column("length").to_pylist(), size)
+        if places:
+            placed = _by_first_piece(placed)
         if len(placed) >> WINDOW_BITS:
             raise OverflowError("a shard has more pieces than a sequence id can number")
         fill: dict[int, int] = {}
         for (window, offset), n in zip(placed, table.column("length").to_pylist(), strict=True):
             fill[window] = max(fill.get(window, 0), offset + n)
         padded = {w: n if n & (n - 1) == 0 else size for w, n in fill.items()}
-        table = table.drop_columns(["shard", "shards"]).append_column("sequence_id", pa.array([shard << WINDOW_BITS | w for w, _ in placed], pa.int64()))
+        table = table.drop_columns(["shard", *places]).append_column("sequence_id", pa.array([shard << WINDOW_BITS | w for w, _ in placed], pa.int64()))
         table = table.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
         return table.append_column("sequence_length", pa.array([padded[w] for w, _ in placed], pa.int64()))
 
     return pack
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 1, tokenizer: str | None = None, cache: int = CACHE_PIECES) -> DataFrame:
+def _slot_shards(order: DataFrame) -> DataFrame:
+    """The places (__id, __slot, __place) with the ``shard`` of each: runs of slots with about ``SHARD_PIECES`` documents.
+
+    A count for every ``SHARD_SLOTS`` slots that are in use reaches the driver.
+    """
+    ranged = order.withColumn("range", F.expr(f"__slot div {SHARD_SLOTS}"))
+    before, shards = 0, []
+    for r in sorted(ranged.groupBy("range").agg(F.count("*").alias("n")).collect()):
+        shards.append((r["range"], before // SHARD_PIECES))
+        before += r["n"]
+    known = order.sparkSession.createDataFrame(shards, "range long, shard long")
+    return ranged.join(F.broadcast(known), "range").drop("range")
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 1, tokenizer: str | None = None, cache: int = CACHE_PIECES, order: DataFrame | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length (with padding).
 
     ``cache`` bounds what a worker remembers of pieces already encoded; a smaller one costs time and never results.
+    ``order`` has the place of every id in a mixture, as ``mixed_places`` gives it.
     """
     path = tokenizer or public_path()
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shards = max(1, -(-docs.count() // SHARD_PIECES))
     pieces = rows.mapInArrow(_cut_rows(path, size, end_id, cache), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
-    dealt = pieces.withColumn("shards", F.lit(shards)).withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("shards")))
-    out = dealt.groupBy("shard").applyInArrow(_pack_rows(size), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long")
+    if order is None:
+        shards = max(1, -(-docs.count() // SHARD_PIECES))
+        places, dealt = [], pieces.withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)))
+    else:
+        at = _slot_shards(order)
+        places, dealt = ["__slot", "__place"], pieces.join(at, pieces["id"].eqNullSafe(at["__id"])).drop("__id")
+    out = dealt.groupBy("shard").applyInArrow(_pack_rows(size, places), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long")
     return out.withColumnRenamed("id", id_col)

@@ -74,3 +74,39 @@ def test_mixture_drops_nothing_and_packing_covers_it(outputs):
 def test_run_is_the_stages_in_order(spark, sf, outputs):
     got = sorted(map(tuple, corpus_pipeline.run(spark, sf).drop("sequence_id").collect()))
     assert len(got) == outputs["packed"].count()
+
+
+def test_packed_sequences_follow_the_target_weights(spark, monkeypatch):
+    from quillrake.llm import mixing, packing
+
+    monkeypatch.setattr(packing, "SHARD_PIECES", 64)
+    monkeypatch.setattr(packing, "SHARD_SLOTS", 1)
+    rows = [(i, f"document {i} of this table " * (1 + i % 7), "abc"[i % 3]) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {r[0]: r[2] for r in rows}
+    for weights in ({"a": 6, "b": 3, "c": 1}, {"a": 1, "b": 3, "c": 6}):
+        packed = packing.pack_documents(docs, order=mixing.mixed_places(docs, weights)).collect()
+        shards = defaultdict(list)
+        for r in packed:
+            shards[r["sequence_id"] >> packing.WINDOW_BITS].append(source[r["doc_id"]])
+        seen, total = dict.fromkeys("abc", 0), 0
+        for k in sorted(shards)[:9]:  # the first source runs out after some 670 documents
+            total += len(shards[k])
+            for s in shards[k]:
+                seen[s] += 1
+            assert all(abs(n - weights[s] * total / 10) < 16 for s, n in seen.items())
+        assert total > 500
+
+
+def test_run_packs_along_the_mixture(spark, sf, outputs, monkeypatch):
+    from quillrake.llm import mixing, packing
+
+    monkeypatch.setattr(packing, "SHARD_PIECES", 32)
+    monkeypatch.setattr(packing, "SHARD_SLOTS", 1)
+    slots = {r["__id"]: r["__slot"] for r in mixing.mixed_places(outputs["near"]).collect()}
+    met = defaultdict(set)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        met[r["sequence_id"] >> packing.WINDOW_BITS].add(slots[r["doc_id"]])
+    assert len(met) > 2
+    ordered = [met[k] for k in sorted(met)]
+    assert all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
