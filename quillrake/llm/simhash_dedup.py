@@ -249,26 +249,44 @@ def subset_masks(trees: int, bits: int, seed: int = 11) -> list[int]:
     return [_signed(sum(1 << int(b) for b in rng.permutation(64)[:bits])) for _ in range(trees)]
 
 
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH)
+
+
+def _near_own(similarity: float):
+    """Links of nodes with the first node of their code, where the sketches resemble each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array(resemblance(_sketch_rows(batch.column("sketch")), _sketch_rows(batch.column("first_sketch"))) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(ok), batch.column("first").filter(ok)], ["a", "b"])
+
+    return run
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = STAGE_RADIUS, trees: int = STAGE_TREES, bits: int = STAGE_BITS, shingle: int = 3) -> DataFrame:
     """(id, component_id) of documents whose sets of five-word shingles resemble each other by ``similarity`` or more.
 
-    A similarity of 0.8 leaves 7 to 8 of 64 bits between codes on average and more than 11 for a few pairs. The forest searches
-    a radius of 11 on subsets of the bits: simulated on random words, 91 to 95 % of the pairs at 0.8 are met, 96 % at 0.84, 98 % at
-    0.88 and nearly all above 0.9. A pair that is not met may still be joined through a third text. A link also needs the
-    sketches to agree: 128 minima estimate the similarity with a standard error of 0.035. The first pass
-    moves codes alone; sketches travel only for documents that have a neighbour.
+    Documents are one node if code and sketch are equal. Pairs to compare come from the forest, at a radius of 11 on subsets of
+    the bits and with one node for each code, and from equal codes. Every link needs the sketches to agree: 128 minima
+    estimate the similarity with a standard error of 0.035, so a pair that close to the threshold can fall on either side.
+    The first pass of the forest moves codes alone; sketches travel only for documents that have a neighbour.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     rows, _ = cut(rows.mapInArrow(_fingerprints_and_sketches(shingle), "id long, code long, sketch binary"), "codes")
-    first = F.min(F.struct("id", "sketch"))
-    nodes, _ = cut(rows.groupBy("code").agg(first.alias("first"), F.count("*").alias("n")).select("code", F.col("first.id").alias("node"), F.col("first.sketch").alias("sketch"), "n"), "nodes")
+    # an id that stands in several rows belongs to the node of each
+    nodes, _ = cut(rows.groupBy("code", "sketch").agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
+    own = nodes.groupBy("code").agg(F.min(F.struct("node", "sketch")).alias("x"), F.count("*").alias("n")).select("code", F.col("x.node").alias("node"), F.col("x.sketch").alias("sketch"), "n")
+    firsts, _ = cut(own, "firsts")
+    several = firsts.where("n > 1").select("code", F.col("node").alias("first"), F.col("sketch").alias("first_sketch"))
+    equal = nodes.join(several, "code").where("node <> first").select("node", "sketch", "first", "first_sketch").mapInArrow(_near_own(similarity), "a long, b long")
     masks = subset_masks(trees, bits)
-    near = code_links(nodes.select("node", "code"), radius, masks).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    near = code_links(firsts.select("node", "code"), radius, masks).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     near, _ = cut(near, "near")
-    links = code_links(nodes.join(near, "node", "left_semi").select("node", "code", "sketch"), radius, masks, similarity)
-    roots = components(links, "a", "b")
-    known = nodes.join(roots, "node", "left").select("code", F.coalesce("root", "node").alias("component_id"), "n", "node").where("n > 1 OR component_id <> node").select("code", "component_id")
-    out = rows.select("id", "code").join(known, "code")
+    links = code_links(firsts.join(near, "node", "left_semi").select("node", "code", "sketch"), radius, masks, similarity)
+    roots = components(links.union(equal), "a", "b")
+    known = nodes.join(roots, "node", "left").select("code", "sketch", F.coalesce("root", "node").alias("component_id"), "n", "node").where("n > 1 OR component_id <> node").select("code", "sketch", "component_id")
+    out = rows.select("id", "code", "sketch").join(known, ["code", "sketch"])
     return out.select(F.col("id").alias(id_col), "component_id")
 
 

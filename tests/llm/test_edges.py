@@ -312,3 +312,11 @@ def test_components_of_hubs_chains_and_loops(spark):
     got = {r["node"]: r["root"] for r in shared.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(1, 60)} | {i: 100 for i in range(101, 141)} | {201: 200}
 
+
+
+def test_texts_with_one_dominating_line_are_not_copies(spark):
+    bars = " |" * 300
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(80)) + bars) for i in range(4)]
+    assert len({simhash_dedup.simhash(t) for _, t in rows}) == 1
+    got = simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {0, 1, 2, 3}
