@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import shutil
 import tempfile
@@ -58,6 +59,13 @@ def ship_modules(spark: SparkSession, folder: str) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), folder) if x)
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system; stages share workers, which keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``most`` bytes of text, one row at least."""
     for batch in batches:

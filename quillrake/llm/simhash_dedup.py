@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Forest, byte_slices, components, cut
+from .shared import Forest, byte_slices, components, cut, release
 
 SEED = 42
 LEVELS = 8
@@ -235,10 +236,12 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _fingerprints_and_sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in byte_slices(batches, "text", 1 << 22):
             texts = batch.column("text").to_pylist()
             codes = [_signed(simhash(t, shingle)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.int64()), pa.array([sketch(t) for t in texts], pa.binary())], ["id", "code", "sketch"])
+        release()
 
     return run
 
@@ -249,8 +252,120 @@ def subset_masks(trees: int, bits: int, seed: int = 11) -> list[int]:
     return [_signed(sum(1 << int(b) for b in rng.permutation(64)[:bits])) for _ in range(trees)]
 
 
+#: Bands of a sketch: two sketches that agree in 0.8 of their bins agree in all bins of some band with a chance of 0.998.
+BANDS, BAND_BINS = 21, 6
+#: Agreeing minima from which a link by a band needs no near codes; sketches of very short texts say little.
+SURE_MINIMA = 8
+#: Members of a large bucket that every other member is compared with.
+REPRESENTATIVES = 8
+
+
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """The keys of the bands of each sketch (a row of bytes, one above zero at least). Empty bins borrow from the next used one."""
+    n, size = sketches.shape
+    at = np.where(sketches > 0, np.arange(size), 3 * size)
+    at = np.minimum.accumulate(np.concatenate([at, at + size], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :size] % size
+    bins = (at * 256 + np.take_along_axis(sketches, at, 1)).astype(np.uint64)
+    keys = np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(BAND_BINS):
+        keys = _mixed(keys + bins[:, k : BANDS * BAND_BINS : BAND_BINS])
+    return keys
+
+
 def _sketch_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH)
+    sketches = column.cast(pa.binary(SKETCH))
+    return np.frombuffer(sketches.buffers()[1] or b"", np.uint8)[sketches.offset * SKETCH :][: len(sketches) * SKETCH].reshape(-1, SKETCH)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = _sketch_rows(batch.column("sketch"))
+        used = np.flatnonzero((rows > 0).any(1))  # a text without words is one node with all others like it
+        node = batch.column("node").to_numpy(zero_copy_only=False)[used]
+        for i in range(0, len(used), 1024):
+            keys = band_keys(rows[used[i : i + 1024]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node[i : i + 1024], BANDS))], ["shard", "node"])
+
+
+def _alike(code: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """Whether sketches i and j resemble each other; where few minima agree, codes must be near as well."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 4096):
+        x, y = i[k : k + 4096], j[k : k + 4096]
+        sure = ((rows[x] == rows[y]) & (rows[x] > 0)).sum(1) >= SURE_MINIMA
+        out[k : k + 4096] = (resemblance(rows[x], rows[y]) >= similarity) & (sure | (np.bitwise_count(code[x] ^ code[y]) <= radius))
+    return out
+
+
+_SMALL = 32
+
+
+def _group_links(node: np.ndarray, code: np.ndarray, rows: np.ndarray, ends: np.ndarray, similarity: float, radius: int) -> tuple[list[int], list[int]]:
+    """Spanning links of groups, which end at ``ends``; members are compared with all others until one is like all that are left."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    sizes, hi, lo = ends - starts, [], []
+    for n in np.unique(sizes[sizes <= _SMALL]).tolist():
+        i, j = np.triu_indices(n, 1)
+        first = starts[sizes == n]
+        step = max(1, 4096 // max(1, len(i)))
+        for k in range(0, len(first) if len(i) else 0, step):
+            x, y = ((first[k : k + step, None] + z).ravel() for z in (i, j))
+            near = _alike(code, rows, x, y, similarity, radius)
+            hi += node[x[near]].tolist()
+            lo += node[y[near]].tolist()
+    for start, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+        forest, end = Forest(), start + n
+        for x in range(start, end - 1):
+            rest = np.arange(x + 1, end)
+            near = _alike(code, rows, np.full(len(rest), x), rest, similarity, radius)
+            for y in rest[near].tolist():
+                forest.join(int(node[x]), int(node[y]))
+            if near.all():
+                break
+        for x, y in forest.edges():
+            hi.append(x)
+            lo.append(y)
+    return hi, lo
+
+
+def _bucket_links(similarity: float, radius: int):
+    """``_group_links`` over flat columns, a few groups at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                members = batch.column("members").slice(at, 256)
+                flat, ends = members.flatten(), np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False))
+                node, code, sketches = (flat.field(c) for c in ("node", "code", "sketch"))
+                code = code.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                hi, lo = _group_links(node.to_numpy(zero_copy_only=False), code, _sketch_rows(sketches), ends, similarity, radius)
+                if hi:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(hi, pa.int64()), "b": pa.array(lo, pa.int64())})
+        release()
+
+    return run
+
+
+def band_links(nodes: DataFrame, similarity: float, radius: int = STAGE_RADIUS) -> DataFrame:
+    """(a, b) spanning the links between ``nodes`` (node, code, sketch) whose sketches share a band and resemble each other.
+
+    Buckets of up to ``LEAF`` are compared in full. Larger ones are dealt out as blocks, each compared inside and with the
+    bucket's ``REPRESENTATIVES``, so the work is linear in their size; two members can then stay apart in this bucket if they lie in
+    two blocks and no chain over the representatives joins them. Other bands deal them anew. Sketches travel only where a bucket has two.
+    """
+    keys = nodes.select("node", "sketch").mapInArrow(_banded, "shard long, node long")
+    full = keys.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("node").alias("least")).where("n > 1")
+    full, _ = cut(full.groupBy("n", "all", "least").agg(F.min("shard").alias("shard")).select("shard", "n"), "bands")  # of buckets with equal members one
+    members = nodes.join(keys.hint("merge").join(full, "shard"), "node").select("shard", "n", "node", "code", "sketch")
+    members, _ = cut(members, "bands")
+    parts = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node", "shard"), parts).cast("int"))
+    pick = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "code", "sketch")) for k in range(REPRESENTATIVES)]
+    chosen = members.where(F.col("n") > LEAF).groupBy("shard").agg(F.max("n").alias("n"), F.array(*pick).alias("x")).select("shard", "n", F.explode(F.array_distinct(F.transform("x", lambda x: F.struct(x.node, x.code, x.sketch)))).alias("x"))
+    chosen = chosen.select("shard", "n", "x.node", "x.code", "x.sketch").withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+    groups = dealt.unionByName(chosen).groupBy("shard", "block").agg(F.collect_list(F.struct("node", "code", "sketch")).alias("members"))
+    return groups.where(F.size("members") > 1).select("members").mapInArrow(_bucket_links(similarity, radius), "a long, b long")
 
 
 def _near_own(similarity: float):
@@ -268,7 +383,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, component_id) of documents whose sets of five-word shingles resemble each other by ``similarity`` or more.
 
     Documents are one node if code and sketch are equal. Pairs to compare come from the forest, at a radius of 11 on subsets of
-    the bits and with one node for each code, and from equal codes. Every link needs the sketches to agree: 128 minima
+    the bits and with one node for each code, from equal codes, and from bands of the sketches (``band_links``), which hold every
+    node and do not depend on repeats or on where the texts differ. Every link needs the sketches to agree: 128 minima
     estimate the similarity with a standard error of 0.035, so a pair that close to the threshold can fall on either side.
     The first pass of the forest moves codes alone; sketches travel only for documents that have a neighbour.
     """
@@ -284,7 +400,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = code_links(firsts.select("node", "code"), radius, masks).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     near, _ = cut(near, "near")
     links = code_links(firsts.join(near, "node", "left_semi").select("node", "code", "sketch"), radius, masks, similarity)
-    roots = components(links.union(equal), "a", "b")
+    roots = components(links.union(equal).union(band_links(nodes.select("node", "code", "sketch"), similarity, radius)), "a", "b")
     known = nodes.join(roots, "node", "left").select("code", "sketch", F.coalesce("root", "node").alias("component_id"), "n", "node").where("n > 1 OR component_id <> node").select("code", "sketch", "component_id")
     out = rows.select("id", "code", "sketch").join(known, ["code", "sketch"])
     return out.select(F.col("id").alias(id_col), "component_id")

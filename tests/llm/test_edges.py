@@ -320,3 +320,34 @@ def test_texts_with_one_dominating_line_are_not_copies(spark):
     assert len({simhash_dedup.simhash(t) for _, t in rows}) == 1
     got = simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == {0, 1, 2, 3}
+
+
+def test_near_copies_of_any_member_of_a_code_are_found(spark):
+    bars = " |" * 900
+    words = {i: [f"d{i}w{k}" for k in range(80)] for i in (1, 2)}
+    rows = [(i, " ".join(w) + bars) for i, w in words.items()] + [(3, " ".join([*words[2][:79], "other"]) + " |" * 9)]
+    codes = [simhash_dedup.simhash(t) for _, t in rows]
+    assert codes[0] == codes[1] and bin(codes[1] ^ codes[2]).count("1") > simhash_dedup.STAGE_RADIUS
+    got = simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {1, 2}
+
+
+def test_appended_passages_and_repeated_lines_are_found(spark):
+    rows, n = [], 150
+    for i in range(n):
+        words = [f"a{i}x{k}" for k in range(200)]
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(words + [f"b{i}x{k}" for k in range(27)]))]  # 196 of 223 shingles: 0.88
+    line = [f"line{k}" for k in range(12)]
+    base = [f"t{k}" for k in range(200)]
+    rows += [(5000, " ".join(base + line * 2)), (5001, " ".join(base + line * 500))]
+    kept = {r["doc_id"] for r in simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {*range(n), 5000} <= kept and 5001 not in kept
+    assert sum(1000 + i not in kept for i in range(n)) >= 0.97 * n
+
+
+def test_large_buckets_of_bands_are_linear_and_keep_groups_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "LEAF", 8)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(base[:5 * i] + [f"own{i}"] + base[5 * i + 1 :])) for i in range(50)] + [(100 + i, " ".join(f"u{i}v{k}" for k in range(60))) for i in range(20)]
+    kept = {r["doc_id"] for r in simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, *range(100, 120)}
