@@ -32,7 +32,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PLAIN = re.compile(r"[\n!-~¡-ÿ]*")
-_PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n+(?=\n)|\n")
+_PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n+\Z|\n+(?=\n)|\n")
 _OPEN = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 

@@ -351,3 +351,11 @@ def test_large_buckets_of_bands_are_linear_and_keep_groups_whole(spark, monkeypa
     rows = [(i, " ".join(base[:5 * i] + [f"own{i}"] + base[5 * i + 1 :])) for i in range(50)] + [(100 + i, " ".join(f"u{i}v{k}" for k in range(60))) for i in range(20)]
     kept = {r["doc_id"] for r in simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {0, *range(100, 120)}
+
+
+def test_newlines_before_a_space_and_at_the_end_are_whole_text_ids():
+    enc = encoder(public_path())
+    for n in range(7):
+        gap = "\n" * n
+        for text in (f"a foo{gap}", f"a foo{gap} bar", f"a foo{gap}  bar", f"a foo{gap}bar", f"a foo,{gap} bar{gap}", f"{gap} a{gap}", f"a 12{gap} b\n c{gap}d{gap}"):
+            assert np.frombuffer(enc.ids(text), "<u4").tolist() == ids_of(text), repr(text)
