@@ -4,9 +4,11 @@ Block j of a source with weight w is released at floor(j / w) and due at ceil((j
 released block with the earliest deadline runs. For weights that sum to one this schedule is Pfair on one
 processor: after t slots a source has had its w * t blocks to within less than one block.
 
-Weights are rounded to multiples of 1 / ``period`` (largest remainders, one unit at least), so the schedule repeats
-every ``period`` slots: the driver computes one period, at most ``period`` rows, and each block finds its slot by
-arithmetic. A source that runs out leaves its later slots empty; the others keep their order, nothing is dropped.
+The whole schedule is computed from the exact rational weights, so the bound holds however long it is and however small a
+weight is. A schedule has no shorter description in general, so one task makes it, from the counts of the sources alone: it
+carries a block of each source from slot to slot and writes ``period`` blocks at a time. That takes a row for each block of
+documents and memory in proportion to the sources. A source that runs out leaves its later slots to others, whose blocks
+still run between release and deadline; slots that nobody may take stay empty; nothing is dropped.
 Ties in deadline go to the earlier release, then to the source that sorts first. Block numbers come from counts
 of (source, bucket) of bounded size, so no task ever holds a whole source.
 
@@ -17,8 +19,11 @@ separate documents. Extra columns pass through ``mixed_order``; names that begin
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +50,44 @@ def pfair_period(units: dict[str, int], period: int) -> list[tuple[str, int, int
     return out
 
 
+def pfair_blocks(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, j, release, deadline, slot) of the first ``blocks`` of each source, in order of slots."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    total = sum(Fraction(w) for w in weights.values())
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    shares = [Fraction(weights[s]) / total for s in names]
+    parts = [(x.numerator, x.denominator, blocks[s]) for x, s in zip(shares, names, strict=True)]
+    coming = [(0, k, 0) for k in range(len(names))]
+    ready: list[tuple[int, int, int, int]] = []
+    slot = 0
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            release, k, j = heapq.heappop(coming)
+            num, den, n = parts[k]
+            heapq.heappush(ready, (-(-(j + 1) * den // num), release, k, j))
+            if j + 1 < n:
+                heapq.heappush(coming, ((j + 1) * den // num, k, j + 1))
+        deadline, release, k, j = heapq.heappop(ready)
+        if slot >= deadline:
+            raise AssertionError(f"block {j} of {names[k]} misses its deadline")
+        yield names[k], j, release, deadline, slot
+        slot += 1
+
+
+def _plan_rows(weights: dict[str, float], blocks: dict[str, int], chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            rows = pfair_blocks(weights, blocks)
+            while held := list(itertools.islice(rows, chunk)):
+                source, *numbers = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], ["__source", "block", "release", "deadline", "slot"])
+
+    return run
+
+
 def weight_units(weights: dict[str, float], period: int) -> dict[str, int]:
     """The weights as whole shares of a period by largest remainders, one at least."""
     if not weights:
@@ -61,32 +104,36 @@ def weight_units(weights: dict[str, float], period: int) -> dict[str, int]:
     return units
 
 
-def temperature_weights(docs: DataFrame, source_col: str = "source", power: float = 0.5) -> dict[str, float]:
-    """Weights in proportion to a power of each source's documents. One row per source reaches the driver."""
+def source_counts(docs: DataFrame, source_col: str = "source") -> dict[str, int]:
+    """Documents of each source. One row per source reaches the driver."""
     rows = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("s")).agg(F.count("*").alias("n")).collect()
-    return {r["s"]: float(r["n"]) ** power for r in rows}
+    return {r["s"]: r["n"] for r in rows}
+
+
+def temperature_weights(docs: DataFrame, source_col: str = "source", power: float = 0.5) -> dict[str, float]:
+    """Weights in proportion to a power of each source's documents."""
+    return {s: float(n) ** power for s, n in source_counts(docs, source_col).items()}
 
 
 def pfair_schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 16, period: int = 4096) -> DataFrame:
     """One row per document: id, source, block, slot, release, deadline, place (in the block).
 
-    Sources that ``weights`` does not name raise an error. Without weights: ``temperature_weights``.
+    Sources that ``weights`` does not name raise an error. Without weights: ``temperature_weights``. ``period`` blocks are
+    planned at a time; it changes no results.
     """
     spark = docs.sparkSession
-    weights = temperature_weights(docs, source_col) if weights is None else weights
-    units = weight_units(weights, period)
+    counts = source_counts(docs, source_col)
+    weights = {s: float(n) ** 0.5 for s, n in counts.items()} if weights is None else weights
+    if missing := sorted(set(counts) - set(weights)):
+        raise ValueError(f"no weight for source {missing[0]}")
+    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(source_col), F.lit("")).alias("__source"))
     rows = rows.withColumn("__n", _numbers(rows))
-    table = [(s, units[s], j, r, d, t) for s, j, r, d, t in pfair_period(units, period)] if units else []
-    plan = spark.createDataFrame(table, "__source string, __units long, __j long, __release long, __deadline long, __slot long")
+    plan = spark.range(0, 1, 1, 1).mapInArrow(_plan_rows(weights, blocks, period), "__source string, block long, release long, deadline long, slot long")
+    plan, _ = cut(plan, "slots")
     rows = _numbered(rows).withColumn("block", F.floor(F.col("__rank") / F.lit(block_docs)).cast("long"))
-    share = F.create_map(*[x for s, u in sorted(units.items()) for x in (F.lit(s), F.lit(u).cast("long"))]) if units else F.lit(None).cast("map<string,bigint>")
-    rows = rows.withColumn("__units", share[F.col("__source")])
-    rows = rows.withColumn("__units", F.when(F.col("__units").isNull(), F.raise_error(F.concat(F.lit("no weight for source "), F.col("__source"))).cast("long")).otherwise(F.col("__units")))
-    rows = rows.withColumn("__j", F.expr("block % __units")).withColumn("__turn", F.expr("block div __units"))
-    out = rows.join(F.broadcast(plan.drop("__units")), ["__source", "__j"])  # at most ``period`` rows
-    shift = F.col("__turn") * F.lit(period)
-    return out.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), "block", (F.col("__slot") + shift).alias("slot"), (F.col("__release") + shift).alias("release"), (F.col("__deadline") + shift).alias("deadline"), F.expr(f"__rank % {int(block_docs)}").alias("place"))
+    out = rows.join(plan, ["__source", "block"])
+    return out.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), "block", "slot", "release", "deadline", F.expr(f"__rank % {int(block_docs)}").alias("place"))
 
 
 BUCKET_DOCS = 2048

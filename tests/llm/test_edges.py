@@ -359,3 +359,25 @@ def test_newlines_before_a_space_and_at_the_end_are_whole_text_ids():
         gap = "\n" * n
         for text in (f"a foo{gap}", f"a foo{gap} bar", f"a foo{gap}  bar", f"a foo{gap}bar", f"a foo,{gap} bar{gap}", f"{gap} a{gap}", f"a 12{gap} b\n c{gap}d{gap}"):
             assert np.frombuffer(enc.ids(text), "<u4").tolist() == ids_of(text), repr(text)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.31830988, "b": 0.41421356, "c": 0.26747656}, {"a": 1e-6, "b": 1, "c": 2}, {f"s{i:04d}": 1 + i % 5 for i in range(5000)}], ids=["odd", "tiny", "many"])
+def test_pfair_follows_the_weights_past_many_periods(spark, weights):
+    from fractions import Fraction
+
+    slots, blocks = 40_000, {s: 50_000 for s in weights}
+    total, count = sum(map(Fraction, weights.values())), Counter()
+    for t, (s, j, release, deadline, slot) in zip(range(slots), mixing.pfair_blocks(weights, blocks), strict=False):
+        assert slot == t and j == count[s] and release <= slot < deadline
+        count[s] += 1
+        if t % 999 == 0 or t == slots - 1:
+            assert all(abs(count[k] * total - Fraction(weights[k]) * (t + 1)) < total for k in weights)
+
+
+def test_schedule_takes_more_sources_than_a_period_has_slots(spark):
+    rows = [(i, f"s{i % 5000}") for i in range(10_000)]
+    got = mixing.pfair_schedule(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=1).collect()
+    assert len({r["slot"] for r in got}) == len(rows) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    long = mixing.pfair_schedule(spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(30_000)], "doc_id long, source string"), {"a": 2, "b": 1.0003}, block_docs=1).collect()
+    mine = sorted(r["slot"] for r in long if r["source"] == "b")
+    assert all(-1 < (t + 1) * 1.0003 / 3.0003 - n < 2 for n, t in enumerate(mine))
