@@ -15,11 +15,11 @@ result. Other columns are not read. A conversation is handled as a whole by one
 
 from __future__ import annotations
 
-import bisect
 import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,23 +62,27 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in turns]
 
 
-def token_mask(starts: list[int], ends: list[int], spans: list[tuple[int, int]]) -> list[int]:
-    """1 for each token whose span meets one of the spans; all lists are sorted."""
-    mask = [0] * len(starts)
-    for a, b in spans:
-        lo, hi = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
-        mask[lo:hi] = [1] * (hi - lo)
-    return mask
+def token_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """1 for each token whose span meets one of the spans; all are sorted, so a binary search finds the tokens of each."""
+    change = np.zeros(len(starts) + 1, np.int32)
+    if spans:
+        a, b = np.array(spans).T
+        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+        np.add.at(change, lo, 1)
+        np.add.at(change, np.maximum(lo, hi), -1)
+    return (np.cumsum(change[:-1]) > 0).astype(np.int32)
 
 
-def masked_text(formatted: str, starts: list[int], ends: list[int], mask: list[int]) -> str:
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
     """The text under the mask; tokens that share a character (its bytes) count it once."""
-    parts, at = [], 0
-    for s, e, m in zip(starts, ends, mask, strict=True):
-        if m and e > at:
-            parts.append(formatted[max(s, at) : e])
-            at = e
-    return unescape("".join(parts))
+    on = np.asarray(mask, bool)
+    starts, ends = np.asarray(starts, np.int64)[on], np.asarray(ends, np.int64)[on]
+    if not len(starts):
+        return ""
+    reach = np.maximum.accumulate(ends)
+    fresh = np.concatenate([[True], starts[1:] > reach[:-1]])  # tokens that do not go on where the text before them ends
+    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(starts) - 1)
+    return unescape("".join([formatted[a:b] for a, b in zip(starts[fresh].tolist(), reach[last].tolist(), strict=True)]))
 
 
 @functools.lru_cache(2)
@@ -90,21 +94,26 @@ def _tokenizer(path: str):
     return t
 
 
-def _format(path: str, kind: pa.DataType | None):
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+
+
+def _format(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                out: dict[str, list] = {k: [] for k in ("formatted", "input_ids", "token_start", "token_end", "loss_mask")}
+                texts, lists = [], ([], [], [], [])
                 for turns in part.column("turns").to_pylist():
                     text, spans = render([(x["role"], x["text"]) for x in turns])
                     enc = t.encode(text, add_special_tokens=False)
-                    starts, ends = [a for a, _ in enc.offsets], [b for _, b in enc.offsets]
-                    for held, v in zip(out.values(), (text, enc.ids, starts, ends, token_mask(starts, ends, spans)), strict=True):
+                    starts, ends = np.array(enc.offsets, np.int32).reshape(-1, 2).T
+                    texts.append(text)
+                    for held, v in zip(lists, (np.array(enc.ids, np.int32), starts, ends, token_mask(starts, ends, spans)), strict=True):
                         held.append(v)
-                lists = [pa.array(out[k], pa.list_(pa.int32())) for k in ("input_ids", "token_start", "token_end", "loss_mask")]
-                yield pa.RecordBatch.from_arrays([part.column("conv"), pa.array(out["formatted"], pa.string()), *lists], ["conv", *out])
+                yield pa.RecordBatch.from_arrays([part.column("conv"), pa.array(texts, pa.string()), *map(_lists, lists)], ["conv", "formatted", "input_ids", "token_start", "token_end", "loss_mask"])
 
     return run
 
@@ -115,4 +124,4 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = conversations.groupBy(F.col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     schema = f"conv {kind}, formatted string, input_ids array<int>, token_start array<int>, token_end array<int>, loss_mask array<int>"
-    return rows.mapInArrow(_format(tokenizer or public_path(), None), schema).withColumnRenamed("conv", conv_col)
+    return rows.mapInArrow(_format(tokenizer or public_path()), schema).withColumnRenamed("conv", conv_col)

@@ -5,8 +5,8 @@ space: (1 + ln tf) * idf, scaled to length one. The weights are trained by follo
 with elastic-net penalties, and the temperature is fitted on a fifth of the sample that training leaves out.
 
 Document frequencies cover all labelled rows. The classifier is fitted on a sample of about ``sample_rows`` labelled rows,
-chosen by hash of the id; that bound is the parameter. On the driver are the sample's sparse features, one row of
-counts per feature (2^15) and the weights; no text.
+chosen by hash of id, text and label, and twice that many at most, also where rows repeat; that bound is the parameter. On
+the driver are the sample's sparse features, one row of counts per feature (2^15) and the weights; no text.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing is labelled. Null labels are not
 learned from. Very long texts count whole, in pieces. Repeated rows count as often as they stand. Extra columns
@@ -144,7 +144,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000) -> LanguageModel:
     """Fit on all rows' document frequencies and a hashed sample of about ``sample_rows`` rows."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.xxhash64(F.col(id_col)).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.select(F.xxhash64(F.col(id_col), F.col(text_col), F.col(lang_col)).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     total = rows.count()
     counts = rows.select("text").mapInArrow(_document_frequency, "bin long, df long").groupBy("bin").agg(F.sum("df").alias("df")).collect()
     df, n = np.zeros(BINS + 1), 0
@@ -153,7 +153,7 @@ def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col:
     n, df = df[BINS], df[:BINS]
     idf = np.log((1 + n) / (1 + df)) + 1
     share = F.pmod(F.col("key"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / max(1, total)) * (1 << 30)))
-    sample = rows.where(share).mapInArrow(_features, "key long, lang string, bins binary, logs binary").collect()
+    sample = rows.where(share).mapInArrow(_features, "key long, lang string, bins binary, logs binary").orderBy("key").limit(2 * sample_rows).collect()
     sample = sorted((r for r in sample if r["bins"]), key=lambda r: (r["key"], r["lang"], r["bins"]))
     languages = sorted({r["lang"] for r in sample})
     if not languages:

@@ -5,7 +5,7 @@ A document is first cut into full windows; what is left over is one piece. Piece
 still holds it, found in a segment tree indexed by remaining capacity. Only lengths travel: the text is encoded in
 the task that reads it. Shards are alike at every size; their number follows the number of documents.
 
-With the places of a mixture the shards are ranges of its slots instead, numbered in that order, and a shard numbers its
+With the places of a mixture the shards are ranges of them instead, numbered in that order, and a shard numbers its
 windows by their first pieces. So sequences in order of their ids go through the mixture shard by shard.
 
 A sequence counts as padded to ``size`` unless the ids in it are a power of two. Null and empty texts have the end
@@ -26,8 +26,6 @@ from .tokens import CACHE_PIECES, encoded, public_path
 
 SIZE = 2048
 SHARD_PIECES = 4096
-#: Slots that stay together when a mixture is cut into shards.
-SHARD_SLOTS = 64
 #: Bits of a sequence id for the window within its shard; the rest names the shard.
 WINDOW_BITS = 28
 
@@ -131,20 +129,6 @@ def _pack_rows(size: int, places: list[str]):
     return pack
 
 
-def _slot_shards(order: DataFrame) -> DataFrame:
-    """The places (__id, __slot, __place) with the ``shard`` of each: runs of slots with about ``SHARD_PIECES`` documents.
-
-    A count for every ``SHARD_SLOTS`` slots that are in use reaches the driver.
-    """
-    ranged = order.withColumn("range", F.expr(f"__slot div {SHARD_SLOTS}"))
-    before, shards = 0, []
-    for r in sorted(ranged.groupBy("range").agg(F.count("*").alias("n")).collect()):
-        shards.append((r["range"], before // SHARD_PIECES))
-        before += r["n"]
-    known = order.sparkSession.createDataFrame(shards, "range long, shard long")
-    return ranged.join(F.broadcast(known), "range").drop("range")
-
-
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 1, tokenizer: str | None = None, cache: int = CACHE_PIECES, order: DataFrame | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length (with padding).
 
@@ -159,7 +143,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         shards = max(1, -(-docs.count() // SHARD_PIECES))
         places, dealt = [], pieces.withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)))
     else:
-        at = _slot_shards(order)
-        places, dealt = ["__slot", "__place"], pieces.join(at, pieces["id"].eqNullSafe(at["__id"])).drop("__id")
+        at = order.withColumn("shard", F.expr(f"__at div {SHARD_PIECES}"))
+        places, dealt = ["__at"], pieces.join(at, pieces["id"].eqNullSafe(at["__id"])).drop("__id")
     out = dealt.groupBy("shard").applyInArrow(_pack_rows(size, places), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long")
     return out.withColumnRenamed("id", id_col)

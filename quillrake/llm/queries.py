@@ -59,8 +59,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _chat_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(5)]
-        cols = [batch.column(c).to_pylist() for c in ("formatted", "token_start", "token_end", "loss_mask")]
-        for formatted, starts, ends, mask in zip(*cols, strict=True):
+        columns = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in ("token_start", "token_end", "loss_mask")]
+        for formatted, starts, ends, mask in zip(batch.column("formatted").to_pylist(), *columns, strict=True):
             turns = parse(formatted)
             said = "".join(f"{r}\n{t}\n" for r, t in turns)
             loss = masked_text(formatted, starts, ends, mask)

@@ -1,18 +1,7 @@
-"""SimHash near-duplicates: exact links within a Hamming radius by a forest of vantage-point trees.
+"""SimHash near-duplicates: codes linked within a Hamming radius by vantage-point trees (``vantage``), and a stage that
+drops near copies, whose links are verified on the sets of shingles.
 
-A tree's levels are seeded vantage points; a code's distances to them name its shard. By the triangle bound
-|d(x, v) - d(y, v)| <= d(x, y) a search leaves out every shell further from its own than the search radius, and visits
-the shards of the others (``probe_moves``), which are those that overlap its ball.
-
-One tree over 64-bit codes prunes badly: their distances to any point lie close together, so each level sends a search
-down several shells. The radius is therefore shared out first. The bits fall into ``radius + 2`` blocks; two codes within
-``radius`` agree on at least two blocks, so each pair of blocks has one tree of its own, on the bits of that pair, in which
-the search radius is what is left: zero, and a search visits one shard. Other masks leave a ``slack`` above zero.
-
-Shards of up to ``LEAF`` codes are compared in full inside one task. Larger ones (dense clusters), for a radius of two
-or less, take an exact way that is linear in their size: two codes lie within two bits if and only if their balls of
-radius one share a point; for wider radii they are dealt out as pairs of blocks.
-Only spanning links leave a shard. Equal codes are one node from the start, so copies never meet in a shard.
+Equal codes are one node from the start, so copies never meet in a shard; only spanning links leave one.
 
 Documents without words have code zero and link like any other. Null texts count as empty. Rows that repeat an id
 are one document. A null id has a code but its component is null. An empty table gives an empty result; other
@@ -21,7 +10,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Forest, byte_slices, components, cut, release
+from .vantage import code_links, signed
+from .words import BASES, PIECE, Words, mixed
 
 SEED = 42
-LEVELS = 8
-LEAF = 512
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 15
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _words(data: bytes) -> Iterator[list[bytes]]:
     """The words of a text in runs of bounded length; bytes.split() splits at exactly x20 and x09-x0D."""
     while data:
@@ -73,128 +57,12 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text", 1 << 22):
-            codes = [_signed(simhash(t, shingle)) for t in batch.column("text").to_pylist()]
+            codes = [signed(simhash(t, shingle)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.int64())], ["id", "code"])
 
     return run
 
 
-def vantage_points(levels: int = LEVELS, seed: int = 7) -> list[int]:
-    rng = np.random.default_rng(seed)
-    return [int(x) for x in rng.integers(0, 1 << 63, levels, dtype=np.int64) ^ (rng.integers(0, 2, levels) << 63)]
-
-
-def tree_masks(radius: int) -> list[int]:
-    """The bits of each tree: all pairs out of radius + 2 blocks."""
-    blocks = np.array_split(np.arange(64), radius + 2)
-    return [_signed(sum(1 << int(b) for k in pair for b in blocks[k])) for pair in itertools.combinations(range(radius + 2), 2)]
-
-
-_SHELLS = 131  # more than the shells of 64 bits with any slack on both sides
-
-
-def shard_path(codes: np.ndarray, mask: int, points: list[int]) -> np.ndarray:
-    """The shells of unsigned codes around each vantage point in a tree's bits, as one number."""
-    path, bits = np.zeros(len(codes), np.uint64), np.uint64(mask % 2**64)
-    for v in points:
-        path = path * np.uint64(_SHELLS) + np.bitwise_count((codes ^ np.uint64(v % 2**64)) & bits).astype(np.uint64)
-    return path
-
-
-def probe_moves(levels: int, slack: int) -> list[int]:
-    """From a code's own shard to those that a ball of radius ``slack`` can overlap, by the triangle bound at each level."""
-    return [sum(m * _SHELLS**i for i, m in enumerate(by)) for by in itertools.product(range(-slack, slack + 1), repeat=levels)]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def _sharded(masks: list[int], points: list[int], slack: int):
-    """Every row once for each shard it stands in; the trees are numbers here, so plans stay small however many there are."""
-    moves = probe_moves(len(points), slack)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = batch.column("code").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for t, mask in enumerate(masks):
-                path, name = shard_path(codes, mask, points), np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)
-                for m in moves:
-                    shard = _mixed(_mixed(path + np.uint64(m % 2**64)) + name)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), *batch.columns], ["shard", *batch.schema.names])
-
-    return run
-
-
-def _leaf_links(radius: int, similarity: float | None):
-    """Spanning links of every group of at most 2 x ``LEAF`` codes; of two blocks, those between them are compared."""
-
-    def near(members: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.array([m["code"] for m in members], np.int64).view(np.uint64)
-        i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius, 1))
-        if similarity is not None and len(i):
-            sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-            ok = np.concatenate([resemblance(sketch[i[k : k + 4096]], sketch[j[k : k + 4096]]) >= similarity for k in range(0, len(i), 4096)])
-            i, j = i[ok], j[ok]
-        return i, j
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hi, lo = [], []
-            for row in batch.column("members").to_pylist():
-                i, j = near(row)
-                if len(i):
-                    forest = Forest()
-                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                        forest.join(row[x]["node"], row[y]["node"])
-                    for x, y in forest.edges():
-                        hi.append(x)
-                        lo.append(y)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(hi, pa.int64()), "b": pa.array(lo, pa.int64())})
-
-    return run
-
-
-def _midpoint_links(dense: DataFrame, radius: int) -> DataFrame:
-    """Links of dense shards without pairs: codes that share a point of their balls; at most 65 codes share one."""
-    if radius == 0:
-        return dense.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    if radius > 2:
-        raise ValueError("dense shards are exact for a radius of 0, 1 or 2")
-    flips = F.array(*[F.lit(0).cast("long")], *[F.lit(_signed(1 << b)) for b in range(64)])
-    ball = dense.select("node", "code").distinct().withColumn("flip", F.explode(flips)).withColumn("point", F.col("code").bitwiseXOR(F.col("flip")))
-    if radius == 1:  # only a code and its neighbours, not two neighbours of one point
-        near = ball.where("flip = 0").select("point", F.col("node").alias("a")).join(ball.where("flip <> 0").select("point", F.col("node").alias("b")), "point")
-        return near.select("a", "b")
-    low = ball.groupBy("point").agg(F.min("node").alias("b"), F.collect_list("node").alias("all")).where(F.size("all") > 1)
-    return low.select(F.explode("all").alias("a"), "b").where("a <> b")
-
-
-def code_links(nodes: DataFrame, radius: int = 2, masks: list[int] | None = None, similarity: float | None = None, slack: int = 0, levels: int = LEVELS) -> DataFrame:
-    """(a, b) spanning the links between distinct codes of ``nodes`` (node, code[, sketch]) within ``radius`` bits.
-
-    Without ``masks`` the trees are ``tree_masks`` and no link is missed. Masks of which one always holds at most ``slack``
-    of the differing bits miss none either; a code then stands in (2 slack + 1) ** levels shards, so take few ``levels``. With
-    ``similarity`` the sketches of both ends must resemble each other that much too.
-    """
-    extra = ["sketch"] if similarity is not None else []
-    deal = _sharded(masks or tree_masks(radius), vantage_points(levels), slack)
-    full = nodes.select("node", "code").mapInArrow(deal, "shard long, node long, code long").groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    full, _ = cut(full, "shards")
-    rows = nodes.select("node", "code", *extra).mapInArrow(deal, "shard long, node long, code long" + (", sketch binary" if extra else ""))
-    members = rows.hint("merge").join(full, "shard")  # sizes are estimated from before the dealing, so nothing is broadcast
-    linear = radius <= 2 and similarity is None
-    small = members.where(F.col("n") <= LEAF) if linear else members
-    parts = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
-    small = small.withColumn("block", F.pmod(F.xxhash64("node", "shard"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    grouped = small.groupBy("shard", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    links = grouped.agg(F.collect_list(F.struct("node", "code", *extra)).alias("members")).where(F.size("members") > 1)
-    links = links.select("members").mapInArrow(_leaf_links(radius, similarity), "a long, b long")
-    return links.union(_midpoint_links(members.where(F.col("n") > LEAF), radius)) if linear else links
-
-
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (smallest id it reaches)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -207,24 +75,71 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-#: Five-word shingles for the resemblance that a stage asks for, and the trees of its wider search.
-VERIFY_SHINGLE, SKETCH, STAGE_RADIUS, STAGE_TREES, STAGE_BITS = 5, 128, 11, 48, 14
-
-
-def sketch(text: str | None, shingle: int = VERIFY_SHINGLE, size: int = SKETCH) -> bytes:
-    """A byte of the least hash in each of ``size`` bins of the text's set of shingles; 0 for an empty bin."""
-    least, carry, digest = np.full(size, np.iinfo(np.uint64).max, np.uint64), [], xxhash.xxh64_digest
-    for run in _words((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)):
-        words = carry + run
-        hashes = [digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
-        if hashes:
-            h = np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64)
-            np.minimum.at(least, (h % np.uint64(size)).astype(np.int64), h)
-        carry = words[-shingle + 1 :]
-    if carry and len(carry) < shingle and (least == np.iinfo(np.uint64).max).all():
-        h = int.from_bytes(digest(b" ".join(carry), SEED), "big")
-        least[h % size] = h
-    return np.where(least == np.iinfo(np.uint64).max, 0, 1 + (least >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).tobytes()
+#: Words of a shingle of the stage, bins of a sketch, and bands of it: sketches that agree in 0.8 of their bins agree in all of some band with a chance of 0.998.
+STAGE_SHINGLE, SKETCH, BANDS, BAND_BINS = 5, 128, 21, 6
+#: A sketch estimates a similarity with a standard error of 0.035; pairs estimated more than this below the threshold are not read.
+MARGIN = 0.14
+#: Members compared in full in one group, and members of a larger bucket that every other member is compared with.
+BUCKET, REPRESENTATIVES = 512, 8
+
+
+def _shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each five-word shingle of the lower-cased texts, in order; of shorter texts the whole sequence."""
+    words = Words(texts, lower=True)
+    runs = words.runs(STAGE_SHINGLE)
+    whole = words.doc[: len(runs)] == words.doc[STAGE_SHINGLE - 1 :]
+    short = np.flatnonzero((words.counts > 0) & (words.counts < STAGE_SHINGLE))
+    doc = np.concatenate([words.doc[: len(runs)][whole], short])
+    h = np.concatenate([runs[whole], words.whole(BASES[1])[short]])
+    order = np.argsort(doc, kind="stable")
+    return doc[order], h[order]
+
+
+def _distinct_shingles(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    head = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.zeros(0, bool)
+    return doc[head], h[head]
+
+
+def _per_document(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` (rows for each shingle, sorted by document) for each of ``n`` documents."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0, dtype=values.dtype)])
+    ends = np.searchsorted(doc, np.arange(n), "right")
+    return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+
+
+def _codes(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of each document: bits set in over half of its shingles' hashes, repeats included."""
+    sums, times = np.zeros((n, 64), np.int64), np.bincount(doc, minlength=n)
+    for at in range(0, len(h), _CHUNK):
+        d, part = doc[at : at + _CHUNK], h[at : at + _CHUNK]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+        here = slice(int(d[0]), int(d[-1]) + 1)
+        sums[here] += _per_document(d - d[0], bits, int(d[-1] - d[0]) + 1)
+    return np.packbits(2 * sums > times[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def _sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """A byte of the least hash in each of ``SKETCH`` bins of a set of shingles; 0 for an empty bin."""
+    none = np.uint64(2**64 - 1)
+    least = np.full(n * SKETCH, none, np.uint64)
+    np.minimum.at(least, doc * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), h)
+    return np.where(least == none, 0, 1 + (least >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).reshape(n, SKETCH)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Code and sketch of each text, and 128 bits of its set of shingles, which tell sets apart."""
+    for batch in byte_slices(batches, "text", PIECE):
+        n = batch.num_rows
+        doc, h = _shingle_hashes(batch.column("text"))
+        code = _codes(doc, h, n)
+        doc, h = _distinct_shingles(doc, h)
+        s1, s2 = (_per_document(doc, x, n) for x in (h, mixed(h + np.uint64(SEED))))
+        sketches = _sketches(doc, h, n)
+        signed64 = [pa.array(x.view(np.int64)) for x in (code, s1, s2)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *signed64, pa.array([x.tobytes() for x in sketches], pa.binary())], ["id", "code", "s1", "s2", "sketch"])
+    release()
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,32 +149,6 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used > 0, (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255), 1.0)
 
 
-def _fingerprints_and_sketches(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in byte_slices(batches, "text", 1 << 22):
-            texts = batch.column("text").to_pylist()
-            codes = [_signed(simhash(t, shingle)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.int64()), pa.array([sketch(t) for t in texts], pa.binary())], ["id", "code", "sketch"])
-        release()
-
-    return run
-
-
-def subset_masks(trees: int, bits: int, seed: int = 11) -> list[int]:
-    """Trees on random subsets of the bits, for a radius at which blocks that cannot miss would be too small."""
-    rng = np.random.default_rng(seed)
-    return [_signed(sum(1 << int(b) for b in rng.permutation(64)[:bits])) for _ in range(trees)]
-
-
-#: Bands of a sketch: two sketches that agree in 0.8 of their bins agree in all bins of some band with a chance of 0.998.
-BANDS, BAND_BINS = 21, 6
-#: Agreeing minima from which a link by a band needs no near codes; sketches of very short texts say little.
-SURE_MINIMA = 8
-#: Members of a large bucket that every other member is compared with.
-REPRESENTATIVES = 8
-
-
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """The keys of the bands of each sketch (a row of bytes, one above zero at least). Empty bins borrow from the next used one."""
     n, size = sketches.shape
@@ -268,7 +157,7 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     bins = (at * 256 + np.take_along_axis(sketches, at, 1)).astype(np.uint64)
     keys = np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(BAND_BINS):
-        keys = _mixed(keys + bins[:, k : BANDS * BAND_BINS : BAND_BINS])
+        keys = mixed(keys + bins[:, k : BANDS * BAND_BINS : BAND_BINS])
     return keys
 
 
@@ -280,133 +169,184 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = _sketch_rows(batch.column("sketch"))
-        used = np.flatnonzero((rows > 0).any(1))  # a text without words is one node with all others like it
+        used = np.flatnonzero((rows > 0).any(1))  # texts without words are one node
         node = batch.column("node").to_numpy(zero_copy_only=False)[used]
         for i in range(0, len(used), 1024):
             keys = band_keys(rows[used[i : i + 1024]])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node[i : i + 1024], BANDS))], ["shard", "node"])
 
 
-def _alike(code: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, radius: int) -> np.ndarray:
-    """Whether sketches i and j resemble each other; where few minima agree, codes must be near as well."""
-    out = np.zeros(len(i), bool)
-    for k in range(0, len(i), 4096):
-        x, y = i[k : k + 4096], j[k : k + 4096]
-        sure = ((rows[x] == rows[y]) & (rows[x] > 0)).sum(1) >= SURE_MINIMA
-        out[k : k + 4096] = (resemblance(rows[x], rows[y]) >= similarity) & (sure | (np.bitwise_count(code[x] ^ code[y]) <= radius))
-    return out
-
-
-_SMALL = 32
-
-
-def _group_links(node: np.ndarray, code: np.ndarray, rows: np.ndarray, ends: np.ndarray, similarity: float, radius: int) -> tuple[list[int], list[int]]:
-    """Spanning links of groups, which end at ``ends``; members are compared with all others until one is like all that are left."""
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    sizes, hi, lo = ends - starts, [], []
-    for n in np.unique(sizes[sizes <= _SMALL]).tolist():
-        i, j = np.triu_indices(n, 1)
-        first = starts[sizes == n]
-        step = max(1, 4096 // max(1, len(i)))
-        for k in range(0, len(first) if len(i) else 0, step):
-            x, y = ((first[k : k + step, None] + z).ravel() for z in (i, j))
-            near = _alike(code, rows, x, y, similarity, radius)
-            hi += node[x[near]].tolist()
-            lo += node[y[near]].tolist()
-    for start, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        forest, end = Forest(), start + n
-        for x in range(start, end - 1):
-            rest = np.arange(x + 1, end)
-            near = _alike(code, rows, np.full(len(rest), x), rest, similarity, radius)
-            for y in rest[near].tolist():
-                forest.join(int(node[x]), int(node[y]))
-            if near.all():
-                break
-        for x, y in forest.edges():
+def _close_pairs(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of one group whose estimate is ``least`` or more."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(len(rows) - 1):
+        j = np.flatnonzero(resemblance(rows[i : i + 1], rows[i + 1 :]) >= least)
+        out.append((np.full(len(j), i), i + 1 + j))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _spanning(rows: np.ndarray, least: float) -> tuple[list[int], list[int], bool]:
+    """A forest of greatest estimates over a group, by Prim's way, and whether other pairs reach ``least`` too."""
+    n, hi, lo, seen = len(rows), [], [], 0
+    best, come, left = np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool)
+    for _ in range(n):
+        x = int(np.where(left, best, -2.0).argmax())
+        if best[x] >= least:
             hi.append(x)
-            lo.append(y)
-    return hi, lo
+            lo.append(int(come[x]))
+        left[x] = False
+        estimate = resemblance(rows[x : x + 1], rows)
+        seen += int(((estimate >= least) & left).sum())
+        better = left & (estimate > best)
+        best[better], come[better] = estimate[better], x
+    return hi, lo, seen > len(hi)
 
 
-def _bucket_links(similarity: float, radius: int):
-    """``_group_links`` over flat columns, a few groups at a time."""
+def _bucket_pairs(least: float, every: bool):
+    """(a, b, shard, more) to be verified in each group: a spanning forest of the estimates, or ``every`` pair of two labels.
+
+    ``more`` says that the group has further pairs, which matter only if one of the forest's fails.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                members = batch.column("members").slice(at, 256)
-                flat, ends = members.flatten(), np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False))
-                node, code, sketches = (flat.field(c) for c in ("node", "code", "sketch"))
-                code = code.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                hi, lo = _group_links(node.to_numpy(zero_copy_only=False), code, _sketch_rows(sketches), ends, similarity, radius)
-                if hi:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(hi, pa.int64()), "b": pa.array(lo, pa.int64())})
+                members, shard = batch.column("members").slice(at, 256), batch.column("shard").slice(at, 256).to_numpy(zero_copy_only=False)
+                flat, sizes = members.flatten(), pc.list_value_length(members).to_numpy(zero_copy_only=False)
+                node, label = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
+                rows = _sketch_rows(flat.field("sketch"))
+                starts = (np.cumsum(sizes) - sizes).astype(np.int64)
+                twos = starts[sizes == 2]  # most groups; compared at once
+                near = resemblance(rows[twos], rows[twos + 1]) >= least if len(twos) else np.zeros(0, bool)
+                twos = twos[near & (label[twos] != label[twos + 1])]
+                out = [(node[twos], node[twos + 1], shard[np.searchsorted(starts, twos)], np.zeros(len(twos), bool))]
+                for start, n, s in zip(starts.tolist(), sizes.tolist(), shard.tolist(), strict=True):
+                    if n > 2:
+                        own, more = slice(start, start + n), False
+                        if every:
+                            i, j = _close_pairs(rows[own], least)
+                            apart = label[own][i] != label[own][j]
+                            i, j = i[apart], j[apart]
+                        else:
+                            i, j, more = _spanning(rows[own], least)
+                        out.append((node[own][i], node[own][j], np.full(len(i), s), np.full(len(i), more)))
+                a, b, s, more = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)), pa.array(s.astype(np.int64)), pa.array(more.astype(bool))], ["a", "b", "shard", "more"])
         release()
 
     return run
 
 
-def band_links(nodes: DataFrame, similarity: float, radius: int = STAGE_RADIUS) -> DataFrame:
-    """(a, b) spanning the links between ``nodes`` (node, code, sketch) whose sketches share a band and resemble each other.
+def band_members(nodes: DataFrame) -> DataFrame:
+    """(shard, block, node, sketch) of the groups to compare: nodes whose sketches share a band.
 
-    Buckets of up to ``LEAF`` are compared in full. Larger ones are dealt out as blocks, each compared inside and with the
-    bucket's ``REPRESENTATIVES``, so the work is linear in their size; two members can then stay apart in this bucket if they lie in
-    two blocks and no chain over the representatives joins them. Other bands deal them anew. Sketches travel only where a bucket has two.
+    A bucket of over ``BUCKET`` nodes is dealt out as blocks, each with the bucket's ``REPRESENTATIVES`` in it, so the work is linear in
+    its size; a chain over these joins blocks, and other bands deal their members anew. Sketches travel only where a bucket has two.
     """
-    keys = nodes.select("node", "sketch").mapInArrow(_banded, "shard long, node long")
+    keys, _ = cut(nodes.select("node", "sketch").mapInArrow(_banded, "shard long, node long"), "bands")
     full = keys.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("node").alias("least")).where("n > 1")
     full, _ = cut(full.groupBy("n", "all", "least").agg(F.min("shard").alias("shard")).select("shard", "n"), "bands")  # of buckets with equal members one
-    members = nodes.join(keys.hint("merge").join(full, "shard"), "node").select("shard", "n", "node", "code", "sketch")
+    members = nodes.select("node", "sketch").join(keys.join(full, "shard"), "node").select("shard", "n", "node", "sketch")
     members, _ = cut(members, "bands")
-    parts = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
+    parts = F.ceil(F.col("n") / F.lit(BUCKET)).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("node", "shard"), parts).cast("int"))
-    pick = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "code", "sketch")) for k in range(REPRESENTATIVES)]
-    chosen = members.where(F.col("n") > LEAF).groupBy("shard").agg(F.max("n").alias("n"), F.array(*pick).alias("x")).select("shard", "n", F.explode(F.array_distinct(F.transform("x", lambda x: F.struct(x.node, x.code, x.sketch)))).alias("x"))
-    chosen = chosen.select("shard", "n", "x.node", "x.code", "x.sketch").withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
-    groups = dealt.unionByName(chosen).groupBy("shard", "block").agg(F.collect_list(F.struct("node", "code", "sketch")).alias("members"))
-    return groups.where(F.size("members") > 1).select("members").mapInArrow(_bucket_links(similarity, radius), "a long, b long")
+    pick = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "sketch")) for k in range(REPRESENTATIVES)]
+    chosen = members.where(F.col("n") > BUCKET).groupBy("shard").agg(F.max("n").alias("n"), F.array(*pick).alias("x")).select("shard", "n", F.explode(F.array_distinct(F.transform("x", lambda x: F.struct(x.node, x.sketch)))).alias("x"))
+    chosen = chosen.select("shard", "n", "x.node", "x.sketch").withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.unionByName(chosen).select("shard", "block", "node", "sketch")
+
+
+def _candidates(members: DataFrame, least: float, every: bool) -> DataFrame:
+    """``_bucket_pairs`` of the groups of ``members`` (shard, block, node, label, sketch)."""
+    groups = members.groupBy("shard", "block").agg(F.collect_list(F.struct("node", "label", "sketch")).alias("members"))
+    return groups.where(F.size("members") > 1).select("shard", "members").mapInArrow(_bucket_pairs(least, every), "a long, b long, shard long, more boolean")
+
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in byte_slices(batches, "text", PIECE):
+        doc, h = _distinct_shingles(*_shingle_hashes(batch.column("text")))
+        ends = np.searchsorted(doc, np.arange(batch.num_rows), "right")
+        sets = [h[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "shingles"])
+    release()
 
-def _near_own(similarity: float):
-    """Links of nodes with the first node of their code, where the sketches resemble each other."""
+
+def _alike(similarity: float):
+    """The pairs whose sets are similar, of rows sorted by (a, salt, b): the hub's own set comes first, with a null b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = pa.array(resemblance(_sketch_rows(batch.column("sketch")), _sketch_rows(batch.column("first_sketch"))) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(ok), batch.column("first").filter(ok)], ["a", "b"])
+        hub, own = None, []
+        for whole in batches:
+            for batch in byte_slices([whole], "shingles", 1 << 24):
+                hi, lo = [], []
+                sets = batch.column("shingles")
+                for k, (a, salt, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), strict=True)):
+                    x = np.frombuffer(sets[k].as_buffer(), np.uint64)
+                    if (a, salt) != hub:
+                        hub, own = (a, salt), []
+                    if b is None:
+                        own.append(x.copy())
+                        continue
+                    for y in own:  # several only where rows repeat an id
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if both >= similarity * (len(x) + len(y) - both):
+                            hi.append(b)
+                            lo.append(a)
+                            break
+                yield pa.RecordBatch.from_pydict({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
+        release()
 
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = STAGE_RADIUS, trees: int = STAGE_TREES, bits: int = STAGE_BITS, shingle: int = 3) -> DataFrame:
-    """(id, component_id) of documents whose sets of five-word shingles resemble each other by ``similarity`` or more.
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float, salts: int = 64) -> DataFrame:
+    """The distinct ``pairs`` (a, b) whose documents of ``rows`` (id, text) have sets of shingles that similar, exactly.
 
-    Documents are one node if code and sketch are equal. Pairs to compare come from the forest, at a radius of 11 on subsets of
-    the bits and with one node for each code, from equal codes, and from bands of the sketches (``band_links``), which hold every
-    node and do not depend on repeats or on where the texts differ. Every link needs the sketches to agree: 128 minima
-    estimate the similarity with a standard error of 0.035, so a pair that close to the threshold can fall on either side.
-    The first pass of the forest moves codes alone; sketches travel only for documents that have a neighbour.
+    Each document of a pair is read once more and its set written. A set then goes to each of its pairs; that of the first
+    document of many pairs goes once to each of their ``salts`` groups.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    sets, _ = cut(rows.join(ends, rows["id"] == ends["wanted"], "left_semi").mapInArrow(_sets, "node long, shingles binary"), "sets")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    hubs = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    others = salted.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "shingles")
+    met = hubs.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return met.mapInArrow(_alike(similarity), "a long, b long")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """(id, component_id) of documents that share a component, by links of sets of five-word shingles of ``similarity`` or more.
+
+    Equal sets are one node. Pairs to verify come from the vantage-point trees over SimHash codes (within ``radius`` bits, and equal
+    codes) and from bands of the sketches, which also find pairs whose codes lie too far apart for trees to prune. In each bucket a
+    spanning forest of the pairs, best estimates first, is verified on the sets themselves. Only where a pair fails can others of its
+    bucket matter; then all of the bucket's pairs between different components are verified too. So every link is exact, none comes
+    from an estimate, and no pair is left out that shares a group and is estimated within ``MARGIN`` of the threshold.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    rows, _ = cut(rows.mapInArrow(_fingerprints_and_sketches(shingle), "id long, code long, sketch binary"), "codes")
-    # an id that stands in several rows belongs to the node of each
-    nodes, _ = cut(rows.groupBy("code", "sketch").agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
-    own = nodes.groupBy("code").agg(F.min(F.struct("node", "sketch")).alias("x"), F.count("*").alias("n")).select("code", F.col("x.node").alias("node"), F.col("x.sketch").alias("sketch"), "n")
-    firsts, _ = cut(own, "firsts")
-    several = firsts.where("n > 1").select("code", F.col("node").alias("first"), F.col("sketch").alias("first_sketch"))
-    equal = nodes.join(several, "code").where("node <> first").select("node", "sketch", "first", "first_sketch").mapInArrow(_near_own(similarity), "a long, b long")
-    masks = subset_masks(trees, bits)
-    near = code_links(firsts.select("node", "code"), radius, masks).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    near, _ = cut(near, "near")
-    links = code_links(firsts.join(near, "node", "left_semi").select("node", "code", "sketch"), radius, masks, similarity)
-    roots = components(links.union(equal).union(band_links(nodes.select("node", "code", "sketch"), similarity, radius)), "a", "b")
-    known = nodes.join(roots, "node", "left").select("code", "sketch", F.coalesce("root", "node").alias("component_id"), "n", "node").where("n > 1 OR component_id <> node").select("code", "sketch", "component_id")
-    out = rows.select("id", "code", "sketch").join(known, ["code", "sketch"])
-    return out.select(F.col("id").alias(id_col), "component_id")
+    known, _ = cut(rows.mapInArrow(_features, "id long, code long, s1 long, s2 long, sketch binary"), "features")
+    nodes, _ = cut(known.groupBy("s1", "s2").agg(F.min(F.struct("id", "code", "sketch")).alias("x")).select("s1", "s2", F.col("x.id").alias("node"), "x.code", "x.sketch"), "nodes")
+    firsts, _ = cut(nodes.groupBy("code").agg(F.min("node").alias("first"), F.count("*").alias("n")), "firsts")
+    equal = nodes.select("code", "node").join(firsts.where("n > 1"), "code").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    close = code_links(firsts.select(F.col("first").alias("node"), "code"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = band_members(nodes)
+    banded, _ = cut(_candidates(members.withColumn("label", F.col("node")), similarity - MARGIN, False), "pairs")
+    pairs, _ = cut(banded.select("a", "b").union(equal).union(close).where("a <> b").distinct(), "pairs")
+    links, _ = cut(verified(pairs, rows, similarity), "links")
+    failed = banded.where("more").join(links, ["a", "b"], "left_anti").select("shard").distinct()
+    failed, _ = cut(failed, "failed")
+    if not failed.isEmpty():
+        label = components(links, "a", "b")
+        again = members.join(failed, "shard", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        more = _candidates(again, similarity - MARGIN, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        more, _ = cut(more, "pairs")
+        links, _ = cut(links.union(verified(more, rows, similarity)), "links")
+    roots = components(links, "a", "b")
+    named = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component_id"))
+    return known.select("id", "s1", "s2").join(named, ["s1", "s2"]).where("id <> component_id").select(F.col("id").alias(id_col), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` but for those with a smaller id in their component, all columns unchanged. Null ids stay."""
-    gone = near_components(docs, id_col, text_col, similarity).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = near_components(docs, id_col, text_col, similarity).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -2,14 +2,18 @@
 
 A window is ``WINDOW`` consecutive words of one document. Its fingerprint in the index is its minimizer: the least hash
 among its runs of ``GRAM`` words. Equal windows have equal minimizers, and a text has about one for every 14 words, so the
-index is small and misses nothing. The index is a log of immutable runs, each sorted by fingerprint with one row per
-fingerprint. A new batch becomes a run and is merge-joined with the runs before it; fingerprints that occur again are
-suspects. Runs are merged when ``FAN_IN`` have gathered.
+index is small and misses nothing. The index (``fingerprint_log``) is a log of immutable sorted runs: each batch becomes a run,
+and is merge-joined with the runs before it as it is written. Fingerprints that occur again, in the batch or in history, are
+suspects.
 
-Suspects are then verified: documents that hold one are read again, and only windows whose minimizer is a suspect
-send 96 bits of two independent hashes of all their words. Each task first combines equal windows of its own, so
-a passage in a third of all documents sends a row or so per task. Documents that repeat another's whole word sequence
-are settled by a hash of the document and only their first one sends windows.
+Suspects are then verified: documents that hold one are read again, those of earlier calls too, and only windows whose
+minimizer is a suspect send 96 bits of two independent hashes of all their words. Each task first combines equal windows of
+its own, so a passage in a third of all documents sends a row or so per task. Documents that repeat another's whole word
+sequence are settled by a hash of the document and only their first one sends windows.
+
+With a log in a folder of its own, calls are batches of a growing corpus: a window of this call's documents is removed if it also
+starts elsewhere in them or in a document of an earlier call, whose texts the log keeps. Documents of earlier calls are not
+judged again. Calling again with the name of a batch that the log has gives the same rows and adds nothing.
 
 Words are the runs of characters other than x20 and x09-x0D. Null texts have none. Rows that repeat an id share the
 positions removed. A document shorter than a window loses nothing. Whole texts are read, in pieces if very long. An empty
@@ -18,122 +22,37 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_slices, cut, new_path, remove
+from .fingerprint_log import FingerprintLog
+from .shared import byte_slices, cut
+from .words import BASES, PIECE, Words, mixed
 
 WINDOW, GRAM = 35, 8
-BATCHES, FAN_IN = 2, 4
-_PIECE = 1 << 20
-_BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
+#: Runs that one call adds to the log; enough for a compaction.
+BATCHES = 4
 _U = np.uint64
 
 
-@functools.lru_cache(4)
-def _powers_to(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to 2**bits."""
-    out = []
-    for b in (base, pow(base, -1, 2**64)):
-        p = np.ones(1, _U)
-        for k in range(bits + 1):
-            p = np.concatenate([p, p * _U(pow(b, 1 << k, 2**64))])
-        out.append(p)
-    return tuple(out)
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_to(base, max(20, int(n).bit_length()))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-
-
-def _piece_words(data: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start byte, hash) of each word; ``fresh`` marks bytes that begin a document."""
-    ink = ~_SPACE[data]
-    starts = np.flatnonzero(ink & (np.concatenate([[True], ~ink[:-1]]) | fresh))
-    ends = np.flatnonzero(ink & np.concatenate([~ink[1:] | fresh[1:], [True]])) + 1
-    up, down = _powers(_BASES[0], len(data))
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=total[1:])
-    return starts, _mixed((total[ends] - total[starts]) * down[starts] ^ ((ends - starts).astype(_U) << _U(48)))
-
-
-class Words:
-    """The words of a batch of texts as hashes, and hashes of runs of them. Runs never cross documents."""
-
-    def __init__(self, texts: pa.Array) -> None:
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        texts = texts.fill_null("").cast(pa.large_string())
-        _, offsets, data = texts.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
-        starts, hashes, at = [], [], 0
-        while at < len(data):
-            end = min(len(data), at + _PIECE)
-            while end < len(data) and not _SPACE[data[end]]:  # pieces end before a space, so that no word is cut
-                stop = np.flatnonzero(_SPACE[data[end : end + 4096]])
-                end = min(len(data), end + (int(stop[0]) if len(stop) else 4096))
-            fresh = np.zeros(end - at, bool)
-            firsts = offsets[:-1][(offsets[:-1] >= at) & (offsets[:-1] < end)]
-            fresh[firsts - at] = True
-            s, h = _piece_words(data[at:end], fresh)
-            starts.append(s + at)
-            hashes.append(h)
-            at = end
-        starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, _U)
-        self.doc = np.searchsorted(offsets[1:], starts, "right")
-        self.counts = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
-        self.first = np.cumsum(self.counts) - self.counts
-        self.totals: dict[int, np.ndarray] = {}
-
-    def _total(self, base: int) -> np.ndarray:
-        if base not in self.totals:
-            t = np.zeros(len(self.hash) + 1, _U)
-            np.cumsum(self.hash * _powers(base, len(self.hash))[0][: len(self.hash)], out=t[1:])
-            self.totals[base] = t
-        return self.totals[base]
-
-    def runs(self, n: int, base: int = _BASES[0]) -> np.ndarray:
-        """Hash of the ``n`` words from each word on, whatever documents they are of."""
-        t = self._total(base)
-        k = max(0, len(self.hash) - n + 1)
-        return _mixed((t[n:] - t[:k]) * _powers(base, k)[1][:k]) if k else np.zeros(0, _U)
-
-    def whole(self, base: int) -> np.ndarray:
-        """Hash of all words of each document."""
-        t, end = self._total(base), self.first + self.counts
-        return _mixed((t[end] - t[self.first]) * _powers(base, len(self.hash) + 1)[1][self.first] + self.counts.astype(_U))
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of grams, minimizer of each window, whether the window lies in one document)."""
-        grams = self.runs(GRAM)
-        k = len(self.hash) - WINDOW + 1
-        if k <= 0:
-            return grams, np.zeros(0, _U), np.zeros(0, bool)
-        least = grams
-        for p in (1, 2, 4, 8):
-            least = np.minimum(least[:-p], least[p:])
-        reach = WINDOW - GRAM + 1 - 16
-        least = np.minimum(least[:-reach], least[reach:])
-        return grams, least, self.doc[:k] == self.doc[WINDOW - 1 :]
+def _windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of grams, minimizer of each window, whether the window lies in one document)."""
+    grams = words.runs(GRAM)
+    k = len(words.hash) - WINDOW + 1
+    if k <= 0:
+        return grams, np.zeros(0, _U), np.zeros(0, bool)
+    least = grams
+    for p in (1, 2, 4, 8):
+        least = np.minimum(least[:-p], least[p:])
+    reach = WINDOW - GRAM + 1 - 16
+    least = np.minimum(least[:-reach], least[reach:])
+    return grams, least, words.doc[:k] == words.doc[WINDOW - 1 :]
 
 
 def _anchors(grams: np.ndarray, least: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -158,62 +77,17 @@ def _distinct(doc: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches, "text", _PIECE):
+    for batch in byte_slices(batches, "text", PIECE):
         words = Words(batch.column("text"))
-        grams, least, inside = words.windows()
+        grams, least, inside = _windows(words)
         places = _anchors(grams, least, inside)
         doc, prints, times = _distinct(words.doc[places], grams[places])
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (prints.view(np.int64), times)]
-        signed = [pa.array(words.whole(b).view(np.int64)) for b in _BASES]
+        signed = [pa.array(words.whole(b).view(np.int64)) for b in BASES]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words.counts), *signed, *lists], ["id", "n_words", "h1", "h2", "anchors", "times"])
 
 
-class FingerprintLog:
-    """Immutable runs of (fingerprint, n), each sorted and without repeats, in a folder of the shared file system."""
-
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
-        self.spark, self.folder = spark, folder or new_path(spark, "log")
-        self.paths: list[str] = []
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if system.exists(path):
-            found = [f"{self.folder}/{x.getPath().getName()}" for x in system.listStatus(path)]
-            done = [p for p in found if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))]
-            self.paths = sorted(done, key=lambda p: int(p.rsplit("-", 1)[1]))
-
-    def _run(self, rows: DataFrame) -> str:
-        number = int(self.paths[-1].rsplit("-", 1)[1]) + 1 if self.paths else 0
-        path = f"{self.folder}/run-{number}"
-        rows.sortWithinPartitions("fingerprint").write.parquet(path)
-        return path
-
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("fingerprint long, n long").parquet(path)
-
-    def append(self, fingerprints: DataFrame) -> DataFrame:
-        """Add a batch (fingerprint, perhaps n: how often) as a run; returns its fingerprints that occur again, in the batch or in history."""
-        times = F.sum("n") if "n" in fingerprints.columns else F.count("*")
-        new = self._run(fingerprints.groupBy("fingerprint").agg(times.alias("n")))
-        rows = self.read(new)
-        again = rows.where("n > 1").select("fingerprint")
-        for old in self.paths:
-            again = again.union(rows.hint("merge").join(self.read(old).select("fingerprint"), "fingerprint", "left_semi").select("fingerprint"))
-        again, _ = cut(again.distinct(), "again")
-        self.paths.append(new)
-        if len(self.paths) >= FAN_IN:
-            self.compact()
-        return again
-
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        rows = functools.reduce(DataFrame.union, [self.read(p) for p in self.paths])
-        merged = self._run(rows.groupBy("fingerprint").agg(F.sum("n").alias("n")))
-        for p in self.paths:
-            remove(self.spark, p)
-        self.paths = [merged]
-
-
 _SENT = 1 << 18
 
 
@@ -228,7 +102,7 @@ def _combined(ids: list[pa.Array], parts: list[tuple[np.ndarray, ...]]) -> Itera
     group = np.cumsum(head) - 1
     total = np.bincount(group, weights=n).astype(np.int64)
     rest = np.flatnonzero(~head)
-    salt = _mixed(doc[rest].astype(_U) * _U(0x9E3779B97F4A7C15) + at[rest].astype(_U))  # spread out, never met by a window
+    salt = mixed(doc[rest].astype(_U) * _U(0x9E3779B97F4A7C15) + at[rest].astype(_U))  # spread out, never met by a window
     out1 = np.concatenate([h1[head], salt.view(np.int64)])
     out2 = np.concatenate([h2[head], np.full(len(rest), -1, np.int32)])
     rows = np.concatenate([np.flatnonzero(head), rest])
@@ -241,15 +115,16 @@ def _suspect_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     ids: list[pa.Array] = []
     parts: list[tuple[np.ndarray, ...]] = []
     docs = held = 0
-    for batch in byte_slices(batches, "text", _PIECE):
+    for batch in byte_slices(batches, "text", PIECE):
         words = Words(batch.column("text"))
-        _, least, inside = words.windows()
+        _, least, inside = _windows(words)
         suspects = pa.array(batch.column("suspects")).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         mine = np.flatnonzero(inside & np.isin(least.view(np.int64), suspects))
-        w1, w2 = (words.runs(WINDOW, b)[mine] for b in _BASES)
+        w1, w2 = (words.runs(WINDOW, b)[mine] for b in BASES)
         doc = words.doc[mine]
-        twice = np.array(batch.column("twice").to_pylist(), bool)
-        parts.append((w1.view(np.int64), ((w2 >> _U(33)).astype(np.int32)), doc + docs, mine - words.first[doc], 1 + twice[doc].astype(np.int64)))
+        twice, past = (np.array(batch.column(c).to_pylist(), bool) for c in ("twice", "past"))
+        at = np.where(past[doc], -1, mine - words.first[doc])  # windows of history count and have no place
+        parts.append((w1.view(np.int64), ((w2 >> _U(33)).astype(np.int32)), doc + docs, at, 1 + twice[doc].astype(np.int64)))
         ids.append(batch.column("id"))
         docs += batch.num_rows
         held += len(mine)
@@ -284,38 +159,68 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_windows(docs: DataFrame, log: FingerprintLog | None = None, batches: int = BATCHES) -> DataFrame:
-    """(id, starts, all_of) of the documents (id, text) with windows that also start elsewhere in ``docs``.
+_PRINTS = "id long, n_words long, h1 long, h2 long, anchors array<long>, times array<byte>"
+
+
+def _holders(prints: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(wanted, twice, suspects) of the documents of ``prints`` that hold a suspect."""
+    found = prints.select("id", "twice", F.explode("anchors").alias("fingerprint")).join(suspects, "fingerprint", "left_semi")
+    return found.groupBy("id").agg(F.collect_set("fingerprint").alias("suspects"), F.max("twice").alias("twice")).withColumnRenamed("id", "wanted")
+
+
+def _history(log: FingerprintLog, name: str, suspects: DataFrame) -> list[DataFrame]:
+    """The documents of other batches of the log that hold a suspect; of equal word sequences in a batch one."""
+    out = []
+    for batch in log.batches:
+        if batch["name"] == name:
+            continue
+        prints = log.spark.read.schema(_PRINTS).parquet(f"{batch['path']}/prints")
+        prints = prints.groupBy("h1", "h2").agg(F.min(F.struct("id", "anchors")).alias("x")).select("x.*", F.lit(False).alias("twice"))
+        wanted = _holders(prints, suspects)
+        texts = log.spark.read.schema("id long, text string").parquet(f"{batch['path']}/texts")
+        out.append(texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("id", "text", "suspects", "twice", F.lit(True).alias("past")))
+    return out
+
+
+def repeated_windows(docs: DataFrame, log: FingerprintLog | None = None, batch: str | None = None, batches: int = BATCHES) -> DataFrame:
+    """(id, starts, all_of) of the documents (id, text) with windows that also start elsewhere in ``docs`` or in the log's history.
 
     ``starts`` are word positions; ``all_of`` marks documents whose whole word sequence occurs in another row.
     """
     spark = docs.sparkSession
+    kept, name = log is not None, batch or uuid.uuid4().hex
     log = log or FingerprintLog(spark)
-    prints, _ = cut(docs.mapInArrow(_fingerprints, "id long, n_words long, h1 long, h2 long, anchors array<long>, times array<byte>"), "prints")
+    path = log.new_batch()
+    docs.mapInArrow(_fingerprints, _PRINTS).write.parquet(f"{path}/prints")
+    prints = spark.read.schema(_PRINTS).parquet(f"{path}/prints")
+    if kept:
+        docs.write.parquet(f"{path}/texts")
+    log.size_for(prints)
     suspects = None
     for b in range(batches):
-        part = prints.where(F.pmod(F.xxhash64("h1", "id"), F.lit(batches)) == b)
-        pairs = F.explode(F.arrays_zip(F.col("anchors").alias("fingerprint"), F.col("times").alias("n"))).alias("x")
-        again = log.append(part.select(pairs).select("x.fingerprint", "x.n"))
+        again = log.append(prints.where(F.pmod(F.xxhash64("h1", "id"), F.lit(batches)) == b))
         suspects = again if suspects is None else suspects.union(again)
+    suspects = suspects.distinct()
+    if kept:
+        log.publish(name, path)
     long = prints.where(F.col("n_words") >= WINDOW)
     same, _ = cut(long.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "same")
     marked = prints.join(same, ["h1", "h2"], "left").select("id", "anchors", "n_words", F.col("rows").isNotNull().alias("twice"), (F.col("rows").isNull() | F.col("id").eqNullSafe(F.col("rep"))).alias("sends"))
-    found = marked.where("sends").select("id", "twice", F.explode("anchors").alias("fingerprint")).join(suspects.distinct(), "fingerprint", "left_semi")
-    wanted = found.groupBy("id").agg(F.collect_set("fingerprint").alias("suspects"), F.max("twice").alias("twice"))
-    wanted = wanted.withColumnRenamed("id", "wanted")
-    met = docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("id", "text", "suspects", "twice")
+    wanted = _holders(marked.where("sends"), suspects)
+    met = docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("id", "text", "suspects", "twice", F.lit(False).alias("past"))
+    for old in _history(log, name, suspects) if kept else []:
+        met = met.unionByName(old)
     windows = met.mapInArrow(_suspect_windows, "w1 long, w2 int, id long, at int, n byte")
     total = F.sum("n").over(Window.partitionBy("w1", "w2"))
-    starts = windows.withColumn("total", total).where("total > 1").groupBy("id").agg(F.collect_list("at").alias("starts")).withColumn("all_of", F.lit(False))
+    starts = windows.withColumn("total", total).where("total > 1 AND at >= 0").groupBy("id").agg(F.collect_list("at").alias("starts")).withColumn("all_of", F.lit(False))
     whole = marked.where("twice").select("id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("all_of")).distinct()
     both = starts.unionByName(whole).groupBy("id").agg(F.max("starts").alias("starts"), F.max("all_of").alias("all_of"))
     return both
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log: FingerprintLog | None = None, batches: int = BATCHES) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_removed, kept_sha256."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log: FingerprintLog | None = None, batch: str | None = None, batches: int = BATCHES) -> DataFrame:
+    """One row per row of ``docs``: id, n_words, n_removed, kept_sha256. With a ``log``, ``docs`` are its next batch."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_windows(rows, log, batches).withColumnRenamed("id", "gone")
+    gone = repeated_windows(rows, log, batch, batches).withColumnRenamed("id", "gone")
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left").select("id", "text", "starts", "all_of")
     return out.mapInArrow(_kept, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)

@@ -64,7 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes as tokens of their own wherever they stand; texts that hold one are encoded whole.
+        self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         with open(path) as f:
             kind = json.load(f)
@@ -100,7 +101,7 @@ class Encoder:
         """The ids of a whole text, four little-endian bytes each."""
         if not text:
             return b""
-        if not self.by_piece:
+        if not self.by_piece or any(x in text for x in self.special):
             return self._slow(text)
         parts = text.split(" ") if not _ODD_SPACE.search(text) else _OPEN.split(text)
         first = self._slow(parts[0]) if parts[0] else b""

@@ -9,8 +9,10 @@ response and the others are revisits that refer to it. Only (hash, largest id) o
 
 Null pages are empty payloads; null URLs leave out the target, control characters in URLs are percent-encoded.
 Null page ids are kept as captures without an id, and never chosen as a response that others refer to while their
-group has an id. Rows that repeat a page id are captures of their own with equal ids. An empty table gives no
-records. Other columns are not read.
+group has an id. Rows that repeat a page id are captures of their own: of those with equal payloads one is the response
+(the smallest URL, nulls first) and the others revisit it; those with different payloads are responses each. A response
+that can be referred to is named by its page id and digest, which no other response shares; every other record is named
+by its file and place. An empty table gives no records. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import opened, write_part
-from .shared import byte_slices
+from .shared import byte_slices, cut
 
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "file string, place long, kind string, record_id string, concurrent_to string, refers_to string, target string, page_id long, payload_bytes long, payload_digest string, payload binary, block binary"
@@ -39,9 +42,8 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, page: int | None, serial: str) -> str:
-    name = f"{kind}/{page}" if page is not None else f"{kind}/null/{serial}"
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(name.encode()).digest(), version=3)}>"
+def record_id(*name: object) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5('/'.join(map(str, name)).encode()).digest(), version=3)}>"
 
 
 def _record(kind: str, ident: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -50,38 +52,39 @@ def _record(kind: str, ident: str, headers: list[tuple[str, str | None]], block:
     return press.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + press.flush()
 
 
-def capture_records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, serial: str) -> bytes:
-    """The three records of one capture. ``serial`` tells captures without a page id, and repeated rows, apart."""
+def capture_records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, serial: str, sole: bool = True) -> bytes:
+    """The three records of one capture. ``sole``: no other response has this page id and payload, so both name it; else ``serial`` does."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: quote(m[0]), url) if url else None
     try:
         parts = urlsplit(target or "")
     except ValueError:
         parts = urlsplit("")
-    kind = "response" if refers_to is None else "revisit"
-    main = record_id("capture", page, serial)
+    kind, sha1 = "response" if refers_to is None else "revisit", digest32(payload)
+    main = record_id("response", page, sha1) if kind == "response" and sole and page is not None else record_id("capture", serial)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     request = f"GET {parts.path or '/'}{'?' + parts.query if parts.query else ''} HTTP/1.1\r\nHost: {parts.netloc}\r\n\r\n".encode()
     fields = f"page-id: {'' if page is None else page}\r\n".encode()
-    digest = ("WARC-Payload-Digest", f"sha1:{digest32(payload)}")
-    out = _record("request", record_id("request", page, serial), [("WARC-Target-URI", target), ("WARC-Concurrent-To", main), ("Content-Type", "application/http;msgtype=request")], request)
+    digest = ("WARC-Payload-Digest", f"sha1:{sha1}")
+    out = _record("request", record_id("request", main), [("WARC-Target-URI", target), ("WARC-Concurrent-To", main), ("Content-Type", "application/http;msgtype=request")], request)
     if kind == "response":
         out += _record(kind, main, [("WARC-Target-URI", target), digest, ("Content-Type", "application/http;msgtype=response")], head + payload)
     else:
-        refers = [("WARC-Refers-To", record_id("capture", refers_to, "")), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        refers = [("WARC-Refers-To", record_id("response", refers_to, sha1)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         out += _record(kind, main, [("WARC-Target-URI", target), digest, *refers, ("Content-Type", "application/http;msgtype=response")], head)
-    return out + _record("metadata", record_id("metadata", page, serial), [("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")], fields)
+    return out + _record("metadata", record_id("metadata", main), [("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")], fields)
 
 
-def _write(folder: str):
+def _write(folder: str, min_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, part = 0, TaskContext.get().partitionId()
 
         def fill(out) -> None:
             nonlocal n
             for batch in byte_slices(batches, "html", 1 << 22):
                 cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")]
                 for page, url, html, refers in zip(*cols, strict=True):
-                    out.write(capture_records(page, url, (html or "").encode("utf-8", "surrogatepass"), refers, f"{folder}/{n}"))
+                    payload = (html or "").encode("utf-8", "surrogatepass")
+                    out.write(capture_records(page, url, payload, refers, f"{folder}/{part}/{n}", len(payload) >= min_bytes))
                     n += 1
 
         uri = write_part(folder, ".warc.gz", fill)
@@ -91,20 +94,33 @@ def _write(folder: str):
 
 
 def revisit_targets(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with ``refers_to``: the response's page id for revisits, else null."""
+    """``pages`` (page_id, url, html) with ``refers_to``: the response's page id for revisits, else null.
+
+    Whether several rows share a payload and the largest page id is known once the groups are counted. Only such rows are numbered,
+    by URL, so tables without them pay nothing for it.
+    """
     base = pages.withColumn("body", F.coalesce("html", F.lit(""))).withColumn("size", F.octet_length("body"))
     base = base.withColumn("sha", F.unhex(F.sha2("body", 256))).drop("body")
-    same = base.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    same = same.select(F.concat("sha", F.lit(b"")).alias("same_sha"), F.col("size").alias("same_size"), "first")
+    top = F.max(F.col("page_id"))
+    same = base.where(F.col("size") >= min_bytes).groupBy("sha", "size", "page_id").agg(F.count("*").alias("n"))
+    same = same.groupBy("sha", "size").agg(top.alias("first"), F.sum("n").alias("n"), F.max(F.struct("page_id", "n")).alias("x")).where("n > 1 AND first IS NOT NULL")
+    same, _ = cut(same.select(F.col("sha").alias("same_sha"), F.col("size").alias("same_size"), "first", F.col("x.n").alias("ties")), "payloads")
     out = base.join(same, (F.col("sha") == F.col("same_sha")) & (F.col("size") == F.col("same_size")), "left")
-    return out.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    first = F.col("page_id").eqNullSafe(F.col("first"))
+    refers = F.when(~first, F.col("first")).alias("refers_to")
+    if same.where("ties > 1").isEmpty():
+        return out.select("page_id", "url", "html", refers)
+    tied = first & (F.col("ties") > 1)
+    numbered = out.where(tied).withColumn("at", F.row_number().over(Window.partitionBy("sha", "size").orderBy("url")))
+    others = out.where(~F.coalesce(tied, F.lit(False))).select("page_id", "url", "html", refers)
+    return others.unionByName(numbered.select("page_id", "url", "html", F.when(F.col("at") > 1, F.col("first")).alias("refers_to")))
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> str:
     """Write archives into ``folder``; returns the path of the table that lists them."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = revisit_targets(rows, min_bytes)
-    rows.mapInArrow(_write(folder), "file string, captures long").where("captures > 0").write.parquet(f"{folder}/files")
+    rows.mapInArrow(_write(folder, min_bytes), "file string, captures long").where("captures > 0").write.parquet(f"{folder}/files")
     return f"{folder}/files"
 
 

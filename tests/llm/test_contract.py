@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -23,7 +24,6 @@ def docs(spark, sf):
 @pytest.fixture(scope="module")
 def ids(docs):
     t = Tokenizer.from_file(public_path())
-    t.encode_special_tokens = True
     return {d: t.encode(x, add_special_tokens=False).ids for d, x in docs.items()}
 
 
@@ -136,23 +136,25 @@ def test_exact(spark, sf, docs):
 
 
 def test_mixing(spark, sf):
-    from quillrake.llm.mixing import temperature_weights, weight_units
-
+    """Against exact fractions of the target weights: each source within one block of its share at every slot, while it lasts."""
     table = spark.read.parquet(f"{sf}/documents.parquet")
     got = rows(spark, sf, "op10_mixing")
-    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in table.select("doc_id").collect())
-    units = weight_units(temperature_weights(table), 4096)
-    blocks = {}
+    source = {r["doc_id"]: r["source"] for r in table.select("doc_id", "source").collect()}
+    assert Counter(r["doc_id"] for r in got) == Counter(list(source)) and all(source[r["doc_id"]] == r["source"] for r in got)
+    sizes = Counter(source.values())
+    weights = {s: Fraction(float(n) ** 0.5) for s, n in sizes.items()}
+    total, blocks = sum(weights.values()), {}
     for r in got:
-        assert r["release"] <= r["slot"] < r["deadline"]
-        blocks.setdefault((r["source"], r["block"]), set()).add(r["slot"])
-    assert all(len(s) == 1 for s in blocks.values())
-    slots = {s.pop(): k for k, s in blocks.items()}
-    assert len(slots) == len(blocks)
-    for source, u in units.items():  # within less than one block of the share at every slot, while it lasts
-        mine, last = sorted(t for t, (s, _) in slots.items() if s == source), 0
-        for j, t in enumerate(mine):
-            assert j - 1 < t * u / 4096 < j + 1
+        share = weights[r["source"]] / total
+        assert r["release"] == r["block"] // share <= r["slot"] < r["deadline"] == -(-(r["block"] + 1) // share)
+        blocks.setdefault((r["source"], r["block"]), set()).add((r["slot"], r["turn"]))
+    assert all(len(s) == 1 for s in blocks.values()) and Counter(s for s, _ in blocks) == {s: -(-n // 16) for s, n in sizes.items()}
+    at = {s.pop(): k for k, s in blocks.items()}
+    assert [turn for _, turn in sorted(at)] == list(range(len(blocks)))
+    for source in sizes:
+        mine = sorted(slot for (slot, _), (s, _) in at.items() if s == source)
+        for j, slot in enumerate(mine):
+            assert abs(slot * weights[source] / total - j) < 1 and abs((slot + 1) * weights[source] / total - (j + 1)) < 1
 
 
 def test_lattice(spark, sf):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quillrake.llm import chat, exact_dedup, language_id, lattice_dedup, mixing, packing, shared, simhash_dedup, substring_dedup, token_files, warc
+from quillrake.llm import chat, exact_dedup, fingerprint_log, language_id, lattice_dedup, mixing, packing, shared, simhash_dedup, substring_dedup, token_files, vantage, warc
 from quillrake.llm.simple8b import decode_block, encode_block
 from quillrake.llm.tokens import encoder, public_path
 
@@ -36,9 +36,7 @@ def none(docs):
 
 
 def ids_of(text):
-    t = Tokenizer.from_file(public_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_path()).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -125,37 +123,50 @@ def test_simhash(spark, docs, none):
     assert simhash_dedup.simhash_components(none).count() == 0
 
 
-def test_dense_codes_link_as_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "LEAF", 8)
+def linked(spark, codes, **settings):
+    """Components by the trees and by brute force."""
+    radius, rows = settings.get("radius", 2), list(enumerate(codes))
+    links = vantage.code_links(spark.createDataFrame([(i, vantage.signed(c)) for i, c in rows], "node long, code long"), **settings)
+    roots = {x["node"]: x["root"] for x in shared.components(links, "a", "b").collect()}
+    forest, c = shared.Forest(), np.array(codes, np.uint64)
+    for i, _ in rows:
+        for j in np.flatnonzero(np.bitwise_count(c ^ c[i]) <= radius).tolist():
+            forest.join(i, j)
+    return {i: roots.get(i, i) for i, _ in rows}, {i: forest.find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("dense", [8, 10**9])
+def test_dense_codes_link_as_by_brute_force(spark, dense):
     r = np.random.default_rng(5)
     codes = sorted({int(sum(1 << int(b) for b in r.choice(20, r.integers(0, 4), replace=False))) for _ in range(150)})
-    rows = [(i, c) for i, c in enumerate(codes)]
-    nodes = spark.createDataFrame(rows, "node long, code long")
-    for radius in (0, 1, 2):
-        forest = shared.Forest()
-        for i, a in rows:
-            for j, b in rows:
-                if i < j and bin(a ^ b).count("1") <= radius:
-                    forest.join(i, j)
-        links = simhash_dedup.code_links(nodes, radius)
-        roots = {x["node"]: x["root"] for x in shared.components(links, "a", "b").collect()}
-        assert {i: roots.get(i, i) for i, _ in rows} == {i: forest.find(i) for i, _ in rows}
-
-
-def test_overlapping_shards_find_links_across_a_boundary(spark):
+    for radius in (1, 2, 3):
+        got, want = linked(spark, codes, radius=radius, leaf=8, dense=dense)
+        assert got == want
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
+def test_trees_find_links_across_their_boundaries(spark, radius):
     r = np.random.default_rng(8)
-    base = [int(x) for x in r.integers(0, 2**62, 40)]
-    codes = sorted({b ^ int(sum(1 << int(k) for k in r.choice(62, r.integers(0, 3), replace=False))) for b in base for _ in range(3)})
-    rows = list(enumerate(codes))
-    halves = [simhash_dedup._signed(0xFFFFFFFF), simhash_dedup._signed(0xFFFFFFFF << 32)]  # of two differing bits one half has at most one
-    links = simhash_dedup.code_links(spark.createDataFrame(rows, "node long, code long"), 2, halves, slack=1, levels=3)
-    roots = {x["node"]: x["root"] for x in shared.components(links, "a", "b").collect()}
-    forest = shared.Forest()
-    for i, a in rows:
-        for j, b in rows:
-            if i < j and bin(a ^ b).count("1") <= 2:
-                forest.join(i, j)
-    assert forest.edges() and {i: roots.get(i, i) for i, _ in rows} == {i: forest.find(i) for i, _ in rows}
+    base = [int(x) for x in r.integers(0, 2**63, 400)]
+    codes = sorted({b ^ int(sum(1 << int(k) for k in r.choice(64, r.integers(0, radius + 3), replace=False))) for b in base for _ in range(3)})
+    got, want = linked(spark, codes, radius=radius, leaf=24)
+    assert got == want and (not radius or any(k != v for k, v in want.items()))
+    code = np.array(codes, np.uint64)
+    for mask in vantage._HALVES:
+        tree = vantage.VantageTree.grown(code, mask, radius // 2, 24)
+        row, leaf, home = tree.search(code)
+        assert tree.leaves > 8 and home.sum() == len(code)
+        if radius == 2:  # some codes stand at a boundary and visit other leaves, and most branches are pruned
+            assert len(code) < len(row) < 3 * len(code)
+        assert {(x, y) for x, y in zip(row, leaf)} >= {(x, y) for x, y in zip(row[home], leaf[home])}
+
+
+def test_a_tree_splits_codes_near_the_median_and_leaves_equal_distances_whole():
+    r = np.random.default_rng(2)
+    tree = vantage.VantageTree.grown(r.integers(0, 2**63, 5000).astype(np.uint64), vantage._HALVES[0], 1, 100)
+    _, leaf, home = tree.search(r.integers(0, 2**63, 50_000).astype(np.uint64))
+    assert np.bincount(leaf[home]).max() < 5000 and tree.leaves >= 50
+    assert vantage.VantageTree.grown(np.array([1 << k for k in range(32)], np.uint64), vantage._HALVES[0], 1, 4).leaves == 1
 
 
 def test_near_duplicates_keep_one_of_each_group(spark):
@@ -210,8 +221,11 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS kind", "1 AS sha", "2 AS record_id")
     listed = warc.write_warc(pages, shared.new_path(spark, "w"))
     caps = warc.assemble_captures(warc.read_warc_records(spark, listed)).collect()
-    main = {(c["metadata"]["page_id"], c["response"]["payload_bytes"], c["response"]["kind"]) for c in caps}
-    assert {(1, 8, "revisit"), (2, 8, "response"), (3, 0, "revisit"), (4, 0, "response"), (6, 3_000_000, "response"), (5, 15, "response"), (None, 8, "revisit"), (None, 0, "revisit")} <= main
+    main = Counter((c["metadata"]["page_id"], c["response"]["payload_bytes"], c["response"]["kind"]) for c in caps)
+    want = [(1, 8, "revisit"), (2, 8, "response"), (2, 8, "revisit"), (3, 0, "revisit"), (4, 0, "response"), (6, 3_000_000, "response"), (5, 15, "response"), (None, 8, "revisit"), (None, 0, "revisit")]
+    assert main == Counter(want)
+    ids = {c["record_id"]: c["metadata"]["page_id"] for c in caps}
+    assert len(ids) == len(rows) and {(c["metadata"]["page_id"], ids[c["response"]["refers_to"]]) for c in caps if c["response"]["refers_to"]} == {(1, 2), (2, 2), (3, 4), (None, 2), (None, 4)}
     assert all(c["request"] is not None and c["metadata"] is not None for c in caps)
     text = next(c for c in caps if c["metadata"]["page_id"] == 5)["response"]["payload"]
     assert bytes(text) == b"a\r\n\r\nWARC/1.1\r\n"
@@ -220,9 +234,22 @@ def test_warc(spark):
 
 
 def test_warc_small_payloads_stay_responses(spark):
-    pages = spark.createDataFrame([(1, None, "ab"), (2, None, "ab"), (3, None, "abcd"), (4, None, "abcd")], "page_id long, url string, html string")
-    got = {r["page_id"]: r["refers_to"] for r in warc.revisit_targets(pages, 3).collect()}
-    assert got == {1: None, 2: None, 3: 4, 4: None}
+    pages = spark.createDataFrame([(1, None, "ab"), (2, None, "ab"), (2, None, "ab"), (3, None, "abcd"), (4, None, "abcd")], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["refers_to"]) for r in warc.revisit_targets(pages, 3).collect())
+    assert got == Counter([(1, None), (2, None), (2, None), (3, 4), (4, None)])
+    caps = warc.assemble_captures(warc.read_warc_records(spark, warc.write_warc(pages, shared.new_path(spark, "w"), min_bytes=3))).collect()
+    assert Counter((c["metadata"]["page_id"], c["response"]["kind"]) for c in caps) == Counter([(1, "response"), (2, "response"), (2, "response"), (3, "revisit"), (4, "response")])
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_warc_rows_that_repeat_a_page_id_are_captures_of_their_own(spark, same):
+    rows = [(7, "u", "same" if same else f"own {i}") for i in range(5)] + [(6, "v", "same"), (7, "w", "same" if same else "own 5")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    caps = warc.assemble_captures(warc.read_warc_records(spark, warc.write_warc(pages, shared.new_path(spark, "w")))).collect()
+    assert Counter(c["metadata"]["page_id"] for c in caps) == Counter({7: 6, 6: 1})
+    assert all(c["request"] is not None and c["response"] is not None for c in caps)
+    kinds = Counter((c["metadata"]["page_id"], c["response"]["kind"]) for c in caps)
+    assert kinds == (Counter({(7, "response"): 1, (7, "revisit"): 5, (6, "revisit"): 1}) if same else Counter({(7, "response"): 6, (6, "response"): 1}))
 
 
 def test_chat(spark):
@@ -254,13 +281,59 @@ def test_substring(spark, docs, none):
 
 
 def test_fingerprint_log_knows_earlier_batches(spark):
-    log = substring_dedup.FingerprintLog(spark)
-    prints = lambda xs: spark.createDataFrame([(x,) for x in xs], "fingerprint long")
-    again = [sorted(r[0] for r in log.append(prints(x)).collect()) for x in ([1, 2, 2], [2, 3], [4, 5], [1, 6], [6, 5, 7])]
-    assert again == [[2], [2], [], [1], [5, 6]]
-    opened = substring_dedup.FingerprintLog(spark, log.folder)
-    assert opened.paths == log.paths and len(opened.paths) < 4
+    log = fingerprint_log.FingerprintLog(spark)
+    prints = lambda xs: spark.createDataFrame([(list(set(xs)), [xs.count(x) for x in set(xs)])], "anchors array<long>, times array<byte>")
+    again = [sorted(r[0] for r in log.append(prints(x)).collect()) for x in ([1, 2, 2, -9], [2, 3], [4, 5], [1, 6, -9], [6, 5, 7])]
+    assert again == [[2], [2], [], [-9, 1], [5, 6]]
+    opened = fingerprint_log.FingerprintLog(spark, log.folder)
+    assert opened.runs == log.runs and [r["level"] for r in opened.runs] == [1, 0, 0]
     assert sorted(r[0] for r in opened.append(prints([7, 8])).collect()) == [7]
+    assert [r["level"] for r in opened.runs] == [1, 1]
+    with pytest.raises(RuntimeError, match="another writer"):
+        log.append(prints([1]))
+
+
+def removed(now, past=()):
+    """What brute force keeps of ``now`` by windows that occur again in it or in ``past``."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    seen = Counter(tuple(w[i : i + 35]) for w in (split(t) for _, t in [*past, *now]) for i in range(len(w) - 34))
+    out = Counter()
+    for d, t in now:
+        w = split(t)
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        out[d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()] += 1
+    return out
+
+
+def test_substring_by_batches_counts_history(spark):
+    passage = lambda k, n=50: " ".join(f"p{k}w{i}" for i in range(n))
+    first = [(1, f"a {passage(1)} b"), (2, f"{passage(2)} c {passage(2)}"), (3, passage(3)), (4, passage(3)), (None, passage(4))]
+    second = [(1, f"x {passage(1)} y {passage(9)}"), (6, passage(3)), (7, f"q {passage(5)}"), (8, None), (9, passage(4, 40)), (10, passage(4, 30))]
+    third = [(11, f"{passage(5)} z"), (12, passage(6))]
+    log = fingerprint_log.FingerprintLog(spark)
+    past = []
+    for name, rows in (("a", first), ("b", second), ("c", third)):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        log = fingerprint_log.FingerprintLog(spark, log.folder)
+        for _ in range(2 if name == "b" else 1):  # the same batch again adds nothing
+            assert Counter(tuple(r) for r in substring_dedup.substring_dedup(df, log=log, batch=name, batches=2).collect()) == removed(rows, past)
+        past += rows
+    assert [b["name"] for b in log.batches] == ["a", "b", "c"] and max(r["level"] for r in log.runs) > 0
+
+
+def test_a_log_ignores_what_no_manifest_names(spark):
+    log = fingerprint_log.FingerprintLog(spark)
+    docs = lambda *t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    text = " ".join(f"w{i}" for i in range(40))
+    substring_dedup.substring_dedup(docs(text), log=log, batch="a").collect()
+    died = fingerprint_log.FingerprintLog(spark, log.folder)
+    died._publish = lambda: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        substring_dedup.substring_dedup(docs("z " + text), log=died, batch="b").collect()
+    again = fingerprint_log.FingerprintLog(spark, log.folder)
+    assert [b["name"] for b in again.batches] == ["a"] and len(again.runs) == len(log.runs)
+    got = substring_dedup.substring_dedup(docs("z " + text), log=again, batch="b").collect()
+    assert [(r["n_words"], r["n_removed"]) for r in got] == [(41, 40)]
 
 
 def test_language(spark, docs, none):
@@ -287,7 +360,7 @@ def test_exact(docs, none):
 
 
 def test_mixing(docs, none):
-    got = mixing.pfair_schedule(docs, {"a": 3, "b": 2, "c": 1, "": 1}, block_docs=1, period=70).collect()
+    got = mixing.pfair_schedule(docs, {"a": 3, "b": 2, "c": 1, None: 1}, block_docs=1, period=70).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ROWS)
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
     assert len({r["slot"] for r in got}) == len(ROWS)
@@ -298,13 +371,15 @@ def test_mixing(docs, none):
         mixing.pfair_schedule(docs, {"a": 1}).collect()
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1e-9, "b": 1}])
-def test_pfair_stays_within_a_block(weights):
-    units = mixing.weight_units(weights, 120)
-    count = Counter()
-    for s, _, _, _, slot in sorted(mixing.pfair_period(units, 120), key=lambda x: x[4]):
-        count[s] += 1
-        assert all(abs(count[k] - units[k] * (slot + 1) / 120) < 1 for k in units)
+def test_null_is_a_source_of_its_own(spark):
+    rows = [(i, (None, "", "a")[i % 3], 1, 2, 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, __at long, __part int, __id int")
+    got = mixing.pfair_schedule(df, {None: 2, "": 1, "a": 1}, block_docs=1).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(by) == 90 and all(by[r[0]]["source"] == r[1] for r in rows)
+    assert all(sum(r["slot"] < n for r in got if r["source"] is None) == n // 2 for n in range(4, 60, 4))
+    out = mixing.mixed_order(df)
+    assert out.columns == df.columns and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, rows))
 
 
 def test_components_of_hubs_chains_and_loops(spark):
@@ -327,7 +402,7 @@ def test_near_copies_of_any_member_of_a_code_are_found(spark):
     words = {i: [f"d{i}w{k}" for k in range(80)] for i in (1, 2)}
     rows = [(i, " ".join(w) + bars) for i, w in words.items()] + [(3, " ".join([*words[2][:79], "other"]) + " |" * 9)]
     codes = [simhash_dedup.simhash(t) for _, t in rows]
-    assert codes[0] == codes[1] and bin(codes[1] ^ codes[2]).count("1") > simhash_dedup.STAGE_RADIUS
+    assert codes[0] == codes[1] and bin(codes[1] ^ codes[2]).count("1") > 2
     got = simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == {1, 2}
 
@@ -346,7 +421,7 @@ def test_appended_passages_and_repeated_lines_are_found(spark):
 
 
 def test_large_buckets_of_bands_are_linear_and_keep_groups_whole(spark, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "LEAF", 8)
+    monkeypatch.setattr(simhash_dedup, "BUCKET", 8)
     base = [f"w{k}" for k in range(300)]
     rows = [(i, " ".join(base[:5 * i] + [f"own{i}"] + base[5 * i + 1 :])) for i in range(50)] + [(100 + i, " ".join(f"u{i}v{k}" for k in range(60))) for i in range(20)]
     kept = {r["doc_id"] for r in simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
