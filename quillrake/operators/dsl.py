@@ -297,50 +297,110 @@ def _number(text: str) -> Any:
     return text
 
 
-def _sorts(spec: Any, id_col: str | None) -> list[Column]:
+def _sort_keys(spec: Any, id_col: str | None) -> list[tuple[str, bool]]:
+    """(field, descending) of each column of an order; the id settles ties."""
     out = []
     for s in _listed(spec or []):
         field, how = (s, "asc") if isinstance(s, str) else next(iter(s.items()))
         how = how.get("order", "asc") if isinstance(how, Mapping) else how
-        field = id_col if field == "_id" and id_col else field
-        out.append(_col(field).desc_nulls_last() if how == "desc" else _col(field).asc_nulls_last())
-    return out + ([_col(id_col).asc()] if id_col else [])
+        out.append((id_col if field == "_id" and id_col else field, how == "desc"))
+    return out + ([(id_col, False)] if id_col and id_col not in [f for f, _ in out] else [])
+
+
+def _after(keys: list[tuple[str, bool]], values: list) -> Column:
+    """Rows that stand after ``values`` in an order with nulls last: equal in the first columns and beyond in the next."""
+    out, same = F.lit(False), F.lit(True)
+    for (field, down), v in zip(keys, values, strict=True):
+        c = _col(field)
+        beyond = F.lit(False) if v is None else ((c < F.lit(v)) if down else (c > F.lit(v))) | c.isNull()
+        out = out | (same & F.coalesce(beyond, F.lit(False)))
+        same = same & c.eqNullSafe(F.lit(v))
+    return out
+
+
+_SCORED = ("match", "multi_match", "match_phrase")
+
+
+def _scores(df: DataFrame, kind: str, spec: Mapping, id_col: str) -> DataFrame:
+    """(id, _score) of the documents that a full-text clause hits; statistics are those of ``df``."""
+    parts = [(f, str(_value(v, "query", "phrase"))) for f, v in spec.items()] if kind != "multi_match" else [(f.split("^")[0], spec["query"]) for f in spec["fields"]]
+    scores = None
+    for f, text in parts:
+        one = phrase_search(df, id_col, f, text).withColumnRenamed("freq", "_score") if kind == "match_phrase" else bm25(df, id_col, f, text).withColumnRenamed("score", "_score")
+        one = one.select(F.col(id_col), F.col("_score").cast("double"))
+        scores = one if scores is None else scores.unionByName(one)
+    return scores.groupBy(id_col).agg(F.sum("_score").alias("_score")) if len(parts) > 1 else scores
+
+
+def _holds_text(clause: Mapping) -> bool:
+    return next(iter(clause)) in _SCORED
+
+
+def _bool_scores(df: DataFrame, spec: Mapping, id_col: str) -> DataFrame | None:
+    """(id, _score) of a bool query with full-text clauses in must or should; None if it has none.
+
+    Full-text clauses under must are needed and add their scores, those under should add theirs; other clauses filter, and under should
+    they add one where they hold. filter and must_not never score.
+    """
+    must, should = _listed(spec.get("must") or []), _listed(spec.get("should") or [])
+    if not any(map(_holds_text, [*must, *should])):
+        return None
+    rest = {k: v for k, v in spec.items() if k in ("filter", "must_not")} | {"must": [c for c in must if not _holds_text(c)]}
+    rest = {k: v for k, v in rest.items() if v}
+    out = (df.where(to_filter({"bool": rest}, id_col)) if rest else df).withColumns({"__score": F.lit(0.0), "__met": F.lit(0)})
+    for c in filter(_holds_text, must):
+        kind = next(iter(c))
+        out = out.join(_scores(df, kind, c[kind], id_col), id_col).withColumn("__score", F.col("__score") + F.col("_score")).drop("_score")
+    for c in should:
+        kind = next(iter(c))
+        if kind in _SCORED:
+            out = out.join(_scores(df, kind, c[kind], id_col), id_col, "left")
+        else:
+            out = out.withColumn("_score", F.when(to_filter(c, id_col), 1.0))
+        out = out.withColumns({"__score": F.col("__score") + F.coalesce("_score", F.lit(0.0)), "__met": F.col("__met") + F.col("_score").isNotNull().cast("int")}).drop("_score")
+    least = spec.get("minimum_should_match", 0 if must or spec.get("filter") else 1) if should else 0
+    if isinstance(least, str):
+        least = int(len(should) * int(least[:-1]) / 100) if least.endswith("%") else int(least)
+    least = len(should) + least if least < 0 else least
+    return out.where(F.col("__met") >= least).select(id_col, F.col("__score").alias("_score"))
 
 
 def search(df: DataFrame, request: Mapping, id_col: str) -> DataFrame:
     """Rows of a request: query, knn, sort, from, size, _source, search_after.
 
-    A ``match`` or ``match_phrase`` at the top scores by BM25 or counts of the phrase; ``knn`` scores by distance. Other
-    queries filter. Scored results come best first with ``_score``; ``search_after`` is the key of the last row of the page before.
+    ``match``, ``multi_match`` and ``match_phrase`` score by BM25 or counts of the phrase, at the top or in a bool's must and should;
+    ``knn`` scores by distance. Other queries filter. Scored results come best first with ``_score``.
+    ``search_after`` is where the page before ended: its last row's values of all sort columns (and its id), or its id alone.
     """
     query, size, skip = dict(request.get("query") or {}), int(request.get("size", 10)), int(request.get("from", 0))
     near = query.pop("knn", None) or request.get("knn")
-    ranked = next((k for k in ("match", "multi_match", "match_phrase") if k in query), None)
+    ranked = next((k for k in _SCORED if k in query), None)
     spec = query.pop(ranked) if ranked else None
-    rows = df.where(to_filter(query, id_col)) if query else df
+    mixed = _bool_scores(df, query["bool"], id_col) if list(query) == ["bool"] and not near and not ranked else None
+    rows = df.where(to_filter(query, id_col)) if query and mixed is None else df
     if near:
         k = int(near.get("k", size))
         rows = rows.where(to_filter(near["filter"], id_col)) if near.get("filter") else rows
-        out = knn(rows, near["field"], near["query_vector"], k, id_col, near.get("metric", "l2"), score="_score")
-        order = [F.col("_score").asc(), _col(id_col)]
-    elif ranked:
-        parts = [(f, str(_value(v, "query", "phrase"))) for f, v in spec.items()] if ranked != "multi_match" else [(f.split("^")[0], spec["query"]) for f in spec["fields"]]
-        scores = None
-        for f, text in parts:
-            one = phrase_search(rows, id_col, f, text).withColumnRenamed("freq", "_score") if ranked == "match_phrase" else bm25(rows, id_col, f, text).withColumnRenamed("score", "_score")
-            one = one.select(F.col(id_col), F.col("_score").cast("double"))
-            scores = one if scores is None else scores.unionByName(one)
-        if len(parts) > 1:
-            scores = scores.groupBy(id_col).agg(F.sum("_score").alias("_score"))
-        out, order = rows.join(scores, id_col), [F.col("_score").desc(), _col(id_col)]
+        out, keys = knn(rows, near["field"], near["query_vector"], k, id_col, near.get("metric", "l2"), score="_score"), [("_score", False), (id_col, False)]
+    elif ranked or mixed is not None:
+        scores = mixed if mixed is not None else _scores(rows, ranked, spec, id_col)
+        out, keys = rows.join(scores, id_col), [("_score", True), (id_col, False)]
     else:
-        out, order = rows, _sorts(request.get("sort"), id_col)
+        out, keys = rows, _sort_keys(None, id_col)
     if request.get("sort"):
-        order = _sorts(request["sort"], id_col)
+        keys = _sort_keys(request["sort"], id_col)
     if "search_after" in request:
-        out = out.where(_col(id_col) > F.lit(request["search_after"]))
-        order = [_col(id_col)]
-    out = out.orderBy(*order)
+        last = request["search_after"]
+        if not isinstance(last, (list, tuple)):
+            found = None if keys == [(id_col, False)] else out.where(_col(id_col) == F.lit(last)).select(*[_col(f) for f, _ in keys]).first()
+            last = list(found) if found is not None else [last]
+        if len(last) == 1 < len(keys):  # an id whose row is gone says no more than its place among ids
+            keys = [(id_col, False)]
+        elif len(last) == len(keys) - 1:
+            keys = keys[:-1]
+        out = out.where(_after(keys, list(last)))
+        keys = keys if (id_col, False) in keys else [*keys, (id_col, False)]
+    out = out.orderBy(*[_col(f).desc_nulls_last() if down else _col(f).asc_nulls_last() for f, down in keys])
     out = out.offset(skip).limit(size) if skip else out.limit(size)
     wanted = request.get("_source")
     if wanted:

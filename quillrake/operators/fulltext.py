@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,36 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, analyzer: str =
     return rows.select(F.col(id_col), sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
 
 
+def corpus_statistics(df: DataFrame, text_col: str, analyzer: str = "standard") -> dict[str, float]:
+    """Documents and their mean length in words; null texts are none."""
+    r = df.where(F.col(text_col).isNotNull()).agg(F.count("*"), F.avg(F.size(tokens(text_col, analyzer)))).first()
+    return {"docs": r[0], "mean_length": r[1] or 0.0}
+
+
+def _of_terms(postings: DataFrame, query: str, analyzer: str) -> tuple[DataFrame, list[str]]:
+    terms = list(dict.fromkeys(_query_terms(postings, query, analyzer)))
+    return postings.where(F.col("term").isin(*terms)) if terms else postings.limit(0), terms
+
+
+def bm25_of_postings(postings: DataFrame, statistics: Mapping, id_col: str, query: str, analyzer: str = "standard", k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score) from the postings of the query's terms alone; ``statistics`` are ``corpus_statistics``.
+
+    The scan reads the row groups of those terms, since postings are sorted by term.
+    """
+    found, _ = _of_terms(postings.select("term", "id", "tf", "dl"), query, analyzer)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    norm = 1 - b + b * F.col("dl") / F.lit(float(statistics["mean_length"]) or 1.0)
+    idf = F.log((F.lit(int(statistics["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    scored = found.join(F.broadcast(df), "term").withColumn("part", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm))
+    return scored.groupBy(F.col("id").alias(id_col)).agg(F.sum("part").alias("score"))
+
+
+def documents_of_terms(postings: DataFrame, id_col: str, query: str, analyzer: str = "standard") -> DataFrame:
+    """The ids of documents that hold every term of the query."""
+    found, terms = _of_terms(postings.select("term", "id"), query, analyzer)
+    return found.groupBy(F.col("id").alias(id_col)).agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(terms)).select(id_col)
+
+
 def keyword_search(df: DataFrame, id_col: str, text_col: str, query: str, k: int, analyzer: str = "standard") -> DataFrame:
     return bm25(df, id_col, text_col, query, analyzer).orderBy(F.col("score").desc(), id_col).limit(k)
 

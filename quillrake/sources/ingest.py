@@ -71,7 +71,7 @@ def read_files(spark: SparkSession, path: str, format: str, schema: T.StructType
 def ingest(table: Table, path: str, format: str, schema: T.StructType | str | None = None, resume: str | None = None, **options: Any) -> int:
     """Append files to a table; returns the version. With ``resume`` (a name) files taken before under that name are left out.
 
-    What has been taken is a property of the table, published in the commit that adds the rows or right after.
+    What has been taken is a property of the table, published in the commit that adds the rows.
     """
     rows = read_files(table.spark, path, format, schema, **options)
     if resume is None:
@@ -81,9 +81,8 @@ def ingest(table: Table, path: str, format: str, schema: T.StructType | str | No
     if not files:
         return table.version
     for f in files:
-        table.append(read_files(table.spark, f, format, schema or rows.schema, **options))
         done.add(f)
-        table.set_properties({f"ingested.{resume}": sorted(done)})
+        table.append(read_files(table.spark, f, format, schema or rows.schema, **options), properties={f"ingested.{resume}": sorted(done)})
     return table.version
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrake.functions.jsonfn import json_entries, json_path_query
-from quillrake.operators.fulltext import postings
+from quillrake.operators.fulltext import bm25, bm25_of_postings, corpus_statistics, documents_of_terms, phrase_search, postings
 from quillrake.operators.retrieval import IvfIndex, knn
 
 from . import transforms
@@ -106,20 +106,25 @@ class Table:
         new = [known[p] if p in known and known[p]["bytes"] == there[p] else {"path": p, "rows": counts.get(unquote(urlparse(p).path), 0), "bytes": there[p], "version": self.version + 1, "stats": {}} for p in sorted(there)]
         return self._commit("sync", lambda s: s | {"files": new})
 
-    def _refs(self) -> dict[str, int]:
-        return self.storage.read("_refs.json") if self.storage.exists("_refs.json") else {}
+    def branches(self) -> dict[str, int]:
+        """Branches and the versions that they started from."""
+        return {n.removesuffix(".json"): self.storage.read(f"_refs/{n}")["version"] for n in self.storage.names("_refs") if n.endswith(".json")}
 
     def versions(self) -> list[int]:
         return [int(n[:20]) for n in self.storage.names("_log") if re.fullmatch(r"\d{20}\.json", n)]
 
-    def _latest(self) -> int:
-        if self.ref is not None:
-            return self._refs()[self.ref]
-        versions = self.versions()
+    def _latest(self, ref: str | None = "") -> int:
+        """The last version of a branch (main for None). A version names its branch, so the newest of its own is the head."""
+        ref, versions = self.ref if ref == "" else ref, self.versions()
         if not versions:
             raise ValueError(f"no table at {self.path}")
-        head = self._refs().get("main")
-        return versions[-1] if head is None else head
+        branches = self.branches()
+        if ref is not None and ref not in branches:
+            raise ValueError(f"no branch {ref!r}")
+        if not branches:
+            return versions[-1]
+        start = branches.get(ref) if ref is not None else None
+        return next((v for v in reversed(versions) if (start is None or v > start) and self._load(v).get("branch") == ref), start if start is not None else versions[-1])
 
     def _load(self, version: int) -> dict:
         return self.storage.read(f"_log/{version:020d}.json")
@@ -137,14 +142,11 @@ class Table:
         for _ in range(20):
             base = self.state
             new = change(json.loads(json.dumps(base)))
-            new |= {"version": self.versions()[-1] + 1, "parent": base["version"], "operation": operation, "time": time.time()}
+            new |= {"version": self.versions()[-1] + 1, "parent": base["version"], "operation": operation, "time": time.time(), "branch": self.ref}
             if self._latest() == base["version"]:
                 try:
                     self.storage.publish(f"_log/{new['version']:020d}.json", new)
                     self.state = new
-                    refs = self._refs()
-                    if (self.ref or "main") in refs:
-                        self.storage.replace("_refs.json", refs | {self.ref or "main": new["version"]})
                     return new["version"]
                 except AlreadyThere:
                     pass
@@ -418,12 +420,13 @@ class Table:
         if rows is not None:
             ends = [x for c in wanted for x in (F.min(f"`{c['physical']}`"), F.max(f"`{c['physical']}`"))]
             for r in rows.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count("*"), *ends).toLocalIterator():  # a row for each file
-                name = next(n for n in sizes if unquote(urlparse(r[0]).path).endswith(n))
+                name = self._known(r[0])
                 stats = {c["physical"]: [_plain(r[2 + 2 * i]), _plain(r[3 + 2 * i])] for i, c in enumerate(wanted)}
                 out.append({"path": name, "rows": r[1], "bytes": sizes[name], "version": self.version + 1, "stats": stats})
         return sorted(out, key=lambda f: f["path"])
 
-    def append(self, df: DataFrame) -> int:
+    def append(self, df: DataFrame, properties: Mapping[str, Any] | None = None) -> int:
+        """Add rows; ``properties`` are set in the same commit."""
         rows, key = self._checked(df), self.state["primary_key"]
         if key:
             keys = self._shaped(df).select(*key)
@@ -431,7 +434,7 @@ class Table:
             if self.df().join(keys, key, "left_semi").limit(1).count():
                 raise ConstraintError(f"a key {key} is in the table already")
         files = self._write(rows)
-        return self._commit("append", lambda s: s | {"files": s["files"] + [f | {"version": s["version"] + 1} for f in files]}, retry=not key)
+        return self._commit("append", lambda s: s | {"files": s["files"] + [f | {"version": s["version"] + 1} for f in files], "properties": s["properties"] | dict(properties or {})}, retry=not key)
 
     def overwrite(self, df: DataFrame) -> int:
         rows = self._checked(df)
@@ -448,8 +451,15 @@ class Table:
 
     def _touched(self, rows: DataFrame) -> list[dict]:
         """Files that hold one of the rows; the driver gets their names only."""
-        names = [unquote(urlparse(r[0]).path) for r in rows.select("__file").where("__file IS NOT NULL").distinct().collect()]
-        return [f for f in self.state["files"] if any(n.endswith("/" + f["path"]) for n in names)]
+        names = {self._known(r[0]) for r in rows.select("__file").where("__file IS NOT NULL").distinct().collect()}
+        return [f for f in self.state["files"] if self._known(f["path"]) in names]
+
+    @staticmethod
+    def _known(uri: str) -> str:
+        """A file's name as the log has it: within the table, or a path where files are mounted."""
+        path = unquote(urlparse(uri).path)
+        inside = re.search(r"data/[0-9a-f]{32}/.*$", path)
+        return inside[0] if inside else path
 
     def _rewritten(self, operation: str, touched: list[dict], rows: DataFrame) -> int:
         gone = {f["path"] for f in touched}
@@ -528,7 +538,7 @@ class Table:
             raise ValueError("a merge needs columns to match on")
         if source.where(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on.values()])).groupBy(*on.values()).agg(F.count("*").alias("n")).where("n > 1").select(*on.values()).join(self.df().select(*[F.col(t).alias(s) for t, s in on.items()]), list(on.values()), "left_semi").limit(1).count():
             raise ConstraintError("several source rows match one target row")
-        t = self._with_files().withColumn("__t", F.lit(True)).alias("t")
+        t = self._with_files(None if not_matched_by_source else self._overlapping(source, on)).withColumn("__t", F.lit(True)).alias("t")
         s = source.withColumn("__s", F.lit(True)).alias("s")
         joined = t.join(s, functools.reduce(lambda a, b: a & b, [F.col(f"t.{a}") == F.col(f"s.{b}") for a, b in on.items()]), "full" if not_matched else "left")
         both, only_t, only_s = F.col("__t").isNotNull() & F.col("__s").isNotNull(), F.col("__s").isNull(), F.col("__t").isNull()
@@ -564,15 +574,23 @@ class Table:
                         v = value(values[c]) if c in values else (F.col(f"t.{c}") if kind == "update" else F.lit(self._column(self.state, c)["default"]))
                     new = F.when(F.col("__a") == i, v).otherwise(new)
                 out.append(new.cast(self._type(self._column(self.state, c))).alias(c))
-            self._rewritten("merge", touched, self._checked(rows.select(*out)))
-            if self.state["primary_key"]:
-                try:
-                    self._unique(self.df(), self.state["primary_key"])
-                except ConstraintError:
-                    self.rollback(self.state["parent"])
-                    raise
+            result = rows.select(*out)
+            if key := self.state["primary_key"]:
+                self._unique(result.select(*key), key)
+                kept = {f["path"] for f in touched}
+                rest = [f for f in self.state["files"] if f["path"] not in kept]
+                moved = set(on) != set(key) or any(kind == "update" and values is not None and set(values) & set(key) for _, kind, values in clauses)
+                if moved and rest and self._read(self.state, rest).join(result.select(*key), key, "left_semi").limit(1).count():
+                    raise ConstraintError(f"the key {key} is not unique")
+            self._rewritten("merge", touched, self._checked(result))
         return {"updated": sums["update"], "deleted": sums["delete"], "inserted": sums["insert"]}
 
+    def _overlapping(self, source: DataFrame, on: Mapping[str, str]) -> list[dict]:
+        """Files whose statistics allow a row that a source row matches: no other file is read by a merge."""
+        ends = source.agg(*[f(F.col(s)).alias(f"{n}{i}") for i, s in enumerate(on.values()) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        ranges = {t: (ends[f"lo{i}"], ends[f"hi{i}"]) for i, t in enumerate(on)}
+        return [f for f in self.state["files"] if self._may_hold(f, ranges)]
+
     # history
 
     def history(self) -> list[dict]:
@@ -586,11 +604,12 @@ class Table:
 
     def create_branch(self, name: str, version: int | None = None) -> Table:
         """A named line of versions; writing to it leaves main alone."""
-        refs = self._refs()
-        if name in refs:
-            raise ValueError(f"there is a branch {name!r}")
-        refs.setdefault("main", self._latest())
-        self.storage.replace("_refs.json", refs | {name: self.version if version is None else version})
+        if not re.fullmatch(r"[\w-]+", name) or name == "main":
+            raise ValueError(f"not a name for a branch: {name!r}")
+        try:
+            self.storage.publish(f"_refs/{name}.json", {"version": self.version if version is None else version})
+        except AlreadyThere:
+            raise ValueError(f"there is a branch {name!r}") from None
         return Table(self.spark, self.path, name)
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:
@@ -637,7 +656,7 @@ class Table:
 
     def expire(self, keep: int = 1) -> list[int]:
         """Forget all but the last ``keep`` versions and those that branches name; ``vacuum`` then frees their files."""
-        held = set(self.versions()[-max(1, keep) :]) | set(self._refs().values()) | {self.version}
+        held = set(self.versions()[-max(1, keep) :]) | set(self.branches().values()) | {self._latest(b) for b in [None, *self.branches()]} | {self.version}
         gone = [v for v in self.versions() if v not in held]
         for v in gone:
             self.storage.delete(f"_log/{v:020d}.json")
@@ -678,7 +697,9 @@ class Table:
         for c in column.split(","):
             self._column(self.state, c)
         if kind == "bm25":
-            postings(self.df(), key, column, options.get("analyzer", "standard")).repartition("term").sortWithinPartitions("term").write.parquet(where)
+            analyzer = options.get("analyzer", "standard")
+            postings(self.df(), key, column, analyzer).repartition("term").sortWithinPartitions("term").write.parquet(where)
+            options = {"analyzer": analyzer} | corpus_statistics(self.df(), column, analyzer)
         elif kind == "ivf":
             index = IvfIndex.build(self.df(), column, key, where, **options)
             options = {"centroids": index.centroids.tolist()}
@@ -692,6 +713,33 @@ class Table:
         entry = {"kind": kind, "column": column, "id_col": key, "path": path, "options": options}
         return self._commit("create index", lambda s: s | {"indexes": s["indexes"] | {name: entry | {"version": s["version"] + 1}}})
 
+    def _postings(self, column: str, index: str | None, id_col: str, analyzer: str) -> tuple[DataFrame, dict] | None:
+        """Postings and corpus statistics of a fresh bm25 index over a column: the one named, or any that fits."""
+        for name in [index] if index else list(self.state["indexes"]):
+            e = self.index(name)
+            if e and e["kind"] == "bm25" and e["column"] == column and e["id_col"] == id_col and e["options"].get("analyzer") == analyzer and "docs" in e["options"]:
+                return self.spark.read.parquet(self.storage.full(e["path"])), e["options"]
+        return None
+
+    def bm25(self, column: str, query: str, index: str | None = None, id_col: str | None = None, analyzer: str = "standard") -> DataFrame:
+        """(id, score): from the postings of the query's terms where an index is fresh, else by a scan; the scores are the same."""
+        key = id_col or (self.state["primary_key"] or [self.columns[0]])[0]
+        if found := self._postings(column, index, key, analyzer):
+            return bm25_of_postings(found[0], found[1], key, query, analyzer)
+        return bm25(self.df(), key, column, query, analyzer)
+
+    def keyword_search(self, column: str, query: str, k: int, index: str | None = None, id_col: str | None = None, analyzer: str = "standard") -> DataFrame:
+        scores = self.bm25(column, query, index, id_col, analyzer)
+        return scores.orderBy(F.col("score").desc(), scores.columns[0]).limit(k)
+
+    def phrase_search(self, column: str, phrase: str, slop: int = 0, index: str | None = None, id_col: str | None = None, analyzer: str = "standard") -> DataFrame:
+        """(id, freq): only documents that hold all terms by the index are read again to place them."""
+        key = id_col or (self.state["primary_key"] or [self.columns[0]])[0]
+        rows = self.df()
+        if found := self._postings(column, index, key, analyzer):
+            rows = rows.join(documents_of_terms(found[0], key, phrase, analyzer), key, "left_semi")
+        return phrase_search(rows, key, column, phrase, slop, analyzer)
+
     def json_lookup(self, column: str, path: str, value: str, index: str | None = None) -> DataFrame:
         """Rows whose JSON has the value (as JSON text) at a path without wildcards, by a fresh json index or by a scan."""
         entry = self.index(index) if index else None

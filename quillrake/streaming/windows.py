@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +33,9 @@ def distinct_events(df: DataFrame, time_col: str, keys: list[str], delay: str) -
 
 
 def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, total) after each batch of a stream, by state of one row per key."""
-
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n, total = n + len(b), total + float(b[value].sum())
-        state.update((n, total))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
+    """(key, n, total) after each batch of a stream, for output in update mode; Spark's own state store keeps a row per key."""
+    total = F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0))
+    return df.groupBy(key).agg(F.count("*").alias("n"), total.alias("total"))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, on: str, time_col: str, right_time: str, columns: list[str]) -> DataFrame:
