@@ -147,12 +147,18 @@ def regional_drift(edges: DataFrame, seeds: Sequence[int], hops: int = 1, settin
     return on_csr(_checked(region), work, "node long")
 
 
+#: Seeds of one question.
+MOST_SEEDS = 10_000
+
+
 def graph_rag_local(docs: DataFrame, id_col: str, edges: DataFrame, seeds: DataFrame, hops: int = 2, alpha: float = 0.85, directed: bool = False, max_nodes: int = 50, relations: Sequence[str] | None = None, max_degree: int | None = None, score_col: str | None = None) -> DataFrame:
     """The documents around the seeds by personalised PageRank: the columns of ``docs`` and ``score``, best first.
 
     ``seeds`` (id, perhaps a score as weight) is a result list, a few rows by construction.
     """
-    rows = seeds.select(F.col(id_col).cast("long"), F.col(score_col) if score_col else F.lit(1.0)).collect()
+    rows = seeds.select(F.col(id_col).cast("long"), F.col(score_col) if score_col else F.lit(1.0)).limit(MOST_SEEDS + 1).collect()
+    if len(rows) > MOST_SEEDS:
+        raise ValueError(f"more than {MOST_SEEDS} seeds")
     ids, weights = [r[0] for r in rows], [max(float(r[1]), 0.0) for r in rows]
     near, _ = cut(subgraph(edges, ids, hops, directed, relations=relations, max_degree=max_degree), "region")
     rank = personalized_pagerank(near, ids, alpha, directed=directed, seed_weights=weights)

@@ -24,11 +24,12 @@ def _turned(edges: DataFrame, directed: bool) -> DataFrame:
     return e if directed else both_ways(e)
 
 
-def bfs(edges: DataFrame, seeds: Sequence[int], hops: int | None = None, directed: bool = True, max_degree: int | None = None, max_nodes: int | None = None, mode: str = "auto") -> DataFrame:
+def bfs(edges: DataFrame, seeds: Sequence[int], hops: int | None = None, directed: bool = True, max_degree: int | None = None, max_nodes: int | None = None, mode: str = "auto", stop: int | None = None) -> DataFrame:
     """(node, hop, seed, parent) of all nodes within ``hops`` of a seed, the seeds at hop 0; the first seed to arrive counts.
 
     ``max_degree``: nodes with more neighbours are reached but not left. ``max_nodes``: keep that many, nearest first,
-    then by id. Both are off by default. A seed without edges is a row too.
+    then by id. Both are off by default. A seed without edges is a row too. Out of core the walk ends with the hop that
+    reaches ``stop``.
     """
     seeds = list(dict.fromkeys(int(s) for s in seeds))
     if not seeds:
@@ -64,6 +65,8 @@ def bfs(edges: DataFrame, seeds: Sequence[int], hops: int | None = None, directe
             if front.isEmpty():
                 break
             parts.append(front)
+            if stop is not None and not front.where(F.col("node") == stop).isEmpty():
+                break
         out = functools.reduce(DataFrame.unionByName, parts)
     return out.orderBy("hop", "node").limit(max_nodes) if max_nodes is not None else out
 
@@ -120,7 +123,7 @@ def shortest_path(edges: DataFrame, start: int, end: int, directed: bool = True,
             return {"node": path[::-1], "hop": list(range(len(path)))}
 
         return on_csr(e, work, schema)
-    path = _path_back(cut(bfs(e, [start], mode="out_of_core"), "walk")[0], end)
+    path = _path_back(cut(bfs(e, [start], mode="out_of_core", stop=end), "walk")[0], end)
     return spark.createDataFrame([(n, i) for i, n in enumerate(path or [])], schema)
 
 

@@ -20,11 +20,11 @@ SAMPLE_ROWS = 20_000
 
 
 def _sample(df: DataFrame, vector: str) -> np.ndarray:
-    """A sample by hash of the vector, so that it does not depend on the order of rows."""
+    """A sample by hash of the vector, so that it does not depend on the order of rows; of distinct vectors, so that it is bounded."""
     rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
     n = rows.count()
     if n > SAMPLE_ROWS:
-        rows = rows.where(F.pmod(F.xxhash64("v"), F.lit(n)) < SAMPLE_ROWS)
+        rows = rows.where(F.pmod(F.xxhash64("v"), F.lit(n)) < SAMPLE_ROWS).distinct().orderBy(F.xxhash64("v"), "v").limit(2 * SAMPLE_ROWS)
     return np.array([r["v"] for r in rows.collect()], float)
 
 

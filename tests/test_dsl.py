@@ -83,3 +83,32 @@ def test_codes_only_choose_candidates(spark):
     sq = quantize.ScalarQuantizer.fit(df, "v")
     row = df.where("id = 3").select("v", sq.decode(sq.encode("v")).alias("w")).first()
     assert max(abs(a - b) for a, b in zip(row["v"], row["w"])) < 0.02
+
+
+def test_pages_follow_an_order_with_ties_and_nulls(spark):
+    rows = [(i, (None, 3.0, 1.0, 3.0)[i % 4], "ab"[i % 2]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, x double, s string")
+    for sort in ([{"x": "desc"}], [{"x": "asc"}, {"s": "desc"}], ["s", {"x": {"order": "desc"}}], [{"_id": "desc"}]):
+        whole = ids(dsl.search(df, {"sort": sort, "size": 50}, "id"))
+        for by in (lambda r: r["id"], lambda r: [r[next(iter(s)) if isinstance(s, dict) else s] if (next(iter(s)) if isinstance(s, dict) else s) != "_id" else r["id"] for s in sort] + ([] if sort == [{"_id": "desc"}] else [r["id"]])):
+            got, last = [], None
+            while True:
+                page = dsl.search(df, {"sort": sort, "size": 5} | ({"search_after": by(last)} if last else {}), "id").collect()
+                if not page:
+                    break
+                got += [r["id"] for r in page]
+                last = page[-1]
+            assert got == whole and len(whole) == 12
+
+
+def test_full_text_scores_inside_bool(spark):
+    df = spark.createDataFrame([(1, "red fox", "x"), (2, "red wine", "y"), (3, "green fox", "x"), (4, "blue", "x")], "id long, text string, kind string")
+    top = {r["id"]: r["_score"] for r in dsl.search(df, {"query": {"match": {"text": "red fox"}}}, "id").collect()}
+    must = {r["id"]: r["_score"] for r in dsl.search(df, {"query": {"bool": {"must": [{"match": {"text": "red fox"}}, {"term": {"kind": "x"}}]}}}, "id").collect()}
+    assert must == {i: top[i] for i in (1, 3)}
+    should = {r["id"]: r["_score"] for r in dsl.search(df, {"query": {"bool": {"should": [{"match": {"text": "red"}}, {"term": {"kind": "x"}}]}}}, "id").collect()}
+    assert set(should) == {1, 2, 3, 4} and should[4] == 1.0 and should[1] > 1.0
+    both = dsl.search(df, {"query": {"bool": {"should": [{"match": {"text": "red"}}, {"term": {"kind": "x"}}], "minimum_should_match": 2}}}, "id")
+    assert ids(both) == [1]
+    filtered = dsl.search(df, {"query": {"bool": {"must": [{"match": {"text": "fox"}}], "must_not": [{"term": {"id": 3}}], "filter": [{"term": {"kind": "x"}}]}}}, "id")
+    assert ids(filtered) == [1]

@@ -209,3 +209,61 @@ def test_arrow_files(spark, tmp_path):
     assert rows(ingest.read_files(spark, str(tmp_path), "ipc").na.fill("")) == sorted([(1, "x"), (2, ""), (3, "z")] * 2)
     back = list(ingest.to_arrow_batches(ingest.from_arrow(spark, table)))
     assert sum(b.num_rows for b in back) == 3
+
+
+def test_branches_are_named_by_their_versions(spark, tmp_path):
+    t = Table.from_dataframe(spark.createDataFrame([(i,) for i in range(6)], "a long"), f"file://{tmp_path}/b")
+    one, two = t.create_branch("one"), t.create_branch("two")
+    one.delete("a = 0")
+    two.delete("a > 3")
+    t.refresh().delete("a = 5")
+    two.refresh().append(spark.createDataFrame([(9,)], "a long"))
+    read = lambda ref: sorted(r[0] for r in Table(spark, t.path, ref).df().collect())
+    assert (read(None), read("one"), read("two")) == ([0, 1, 2, 3, 4], [1, 2, 3, 4, 5], [0, 1, 2, 3, 9])
+    stale = Table(spark, t.path, "one")
+    one.refresh().delete("a = 1")
+    with pytest.raises(Conflict):
+        stale.delete("a = 2")
+    t.refresh().expire(1)
+    assert (read(None), read("one"), read("two")) == ([0, 1, 2, 3, 4], [2, 3, 4, 5], [0, 1, 2, 3, 9])
+    for bad in ("one", "main", "a/b"):
+        with pytest.raises(ValueError):
+            t.create_branch(bad)
+
+
+def test_a_merge_that_breaks_the_key_leaves_no_version(spark, tmp_path):
+    t = Table.from_dataframe(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string"), f"file://{tmp_path}/k", primary_key=["id"])
+    versions = t.versions()
+    source = spark.createDataFrame([("z", 2)], "v string, new long")
+    with pytest.raises(ConstraintError):
+        t.merge(source, {"v": "v"}, not_matched=[(None, {"id": F.col("s.new"), "v": F.col("s.v")})])
+    assert t.versions() == versions and t.refresh().df().count() == 3
+    twice = spark.createDataFrame([(7, "x"), (7, "y")], "id long, v string")
+    with pytest.raises(ConstraintError):
+        t.upsert(twice)
+    assert t.versions() == versions
+
+
+def test_a_merge_reads_only_files_that_may_match(spark, tmp_path):
+    t = Table.create(spark, f"file://{tmp_path}/m", "id long, v string", primary_key=["id"])
+    for lo in (0, 100, 200):
+        t.append(spark.range(lo, lo + 10).selectExpr("id", "'old' AS v").coalesce(1))
+    source = spark.createDataFrame([(105, "new"), (150, "new")], "id long, v string")
+    assert len(t._overlapping(source, {"id": "id"})) == 1
+    kept = {f["path"] for f in t.state["files"]} - {f["path"] for f in t._overlapping(source, {"id": "id"})}
+    assert t.upsert(source) == {"updated": 1, "deleted": 0, "inserted": 1}
+    assert kept <= {f["path"] for f in t.state["files"]} and t.df().count() == 31
+    assert sorted(r["id"] for r in t.df().where("v = 'new'").collect()) == [105, 150]
+
+
+def test_an_index_gives_the_scores_of_a_scan(spark, tmp_path):
+    rows = [(1, "the red fox"), (2, "red red wine"), (3, None), (4, ""), (5, "a fox and the red hen"), (6, "green")]
+    t = Table.from_dataframe(spark.createDataFrame(rows, "id long, text string"), f"file://{tmp_path}/w", primary_key=["id"])
+    scores = lambda: sorted((r["id"], round(r["score"], 9)) for r in t.bm25("text", "red fox nowhere").collect())
+    phrases = lambda: sorted(map(tuple, t.phrase_search("text", "the red").collect()))
+    scanned = scores(), phrases()
+    t.create_index("w", "bm25", "text")
+    assert t._postings("text", None, "id", "standard") is not None
+    assert (scores(), phrases()) == scanned and scanned[1] == [(1, 1), (5, 1)]
+    t.append(spark.createDataFrame([(7, "red fox")], "id long, text string"))
+    assert t._postings("text", None, "id", "standard") is None and len(scores()) == len(scanned[0]) + 1
