@@ -5,8 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillrake.sources.table import Table
 
@@ -41,16 +45,41 @@ def subscribe(table: Table, since: int | None = None, where: Column | str | None
         at = v
 
 
+_LOG = "version long, parent long, operation string, branch string, files array<struct<path: string, version: long>>"
+
+
 def stream_appends(table: Table) -> DataFrame:
-    """A stream of the rows appended to a table, as Spark sees its files arrive. For tables that are only appended to:
-    rewritten files would come again."""
-    if table.state["partition_by"]:
-        raise ValueError("streams read tables without partitions")
-    names = [F.col(f"`{c['physical']}`").alias(c["name"]) for c in table.state["columns"]]
-    from pyspark.sql import types as T
-
-    physical = T.StructType([T.StructField(c["physical"], table._type(c), True) for c in table.state["columns"]])
-    return table.spark.readStream.schema(physical).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(table.storage.full("data")).select(*names)
+    """A stream of the rows that commits append to a table's branch, from its first version on.
+
+    The stream follows the log: each version file, which appears whole, names the files that its commit added. So files of a write
+    that was never committed are not read, and rows that compaction, clustering, updates or deletes write again do not come again.
+    """
+    state, spark = table.state, table.spark
+    kinds = T.StructType([T.StructField(c["name"], table._type(c), True) for c in state["columns"]])
+    names = [(c["physical"], c["name"]) for c in state["columns"]]
+    log = spark.readStream.schema(_LOG).option("pathGlobFilter", "*.json").json(table.storage.full("_log"))
+    log = log.where((F.col("operation") == "append") & F.col("branch").eqNullSafe(F.lit(table.ref)))
+    added = log.select(F.explode(F.filter("files", lambda f: f.version > F.col("parent"))).alias("f")).select("f.path")
+    return added.mapInArrow(_rows_of(table.storage.root, names, to_arrow_schema(kinds)), kinds)
+
+
+def _rows_of(root: str, names: list[tuple[str, str]], schema: pa.Schema):
+    """Reads the Parquet files that rows name, a batch at a time; columns that a file lacks are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                uri = path if "://" in path or path.startswith("/") else f"{root}/{path}"
+                system, inside = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+                with system.open_input_file(inside) as source:
+                    for part in pq.ParquetFile(source, coerce_int96_timestamp_unit="us").iter_batches(columns=[p for p, _ in names]):
+                        there = set(part.schema.names)
+                        columns = [part.column(p).cast(schema.field(n).type) if p in there else pa.nulls(part.num_rows, schema.field(n).type) for p, n in names]
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
 
 
 def sink(table: Table, checkpoint: str, stream: DataFrame, keys: list[str] | None = None, name: str = "sink", transform: Callable[[DataFrame], DataFrame] | None = None):

@@ -48,3 +48,19 @@ def test_as_of_join(spark):
     a = spark.createDataFrame([(1, "x", 5), (2, "x", 1), (3, "y", 9)], "id int, k string, t int")
     b = spark.createDataFrame([("x", 5, "at"), ("x", 4, "before"), ("y", 10, "after")], "k string, u int, v string")
     assert rows(windows.as_of_join(a, b, "k", "t", "u", ["v"]).select("id", F.coalesce("v", F.lit("-")))) == [(1, "at"), (2, "-"), (3, "-")]
+
+
+def test_streams_follow_commits_and_not_files(spark, tmp_path):
+    t = Table.create(spark, f"file://{tmp_path}/t", "id long, at timestamp, day timestamp_ntz, v array<float>, s string", partition_by=["s"])
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("id", "timestamp'2024-01-01 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS at", "timestamp_ntz'2024-01-01 10:00:00' AS day", "array(cast(id AS float), 0.5F) AS v", "cast(id % 2 AS string) AS s")
+    t.append(rows(0, 4))
+    t.append(rows(4, 6))
+    t._write(rows(90, 95))  # written and never committed
+    t.compact()
+    t.delete("id = 1")
+    t.create_branch("side").append(rows(50, 55))
+    t.refresh().append(rows(6, 8))
+    out = Table.create(spark, f"file://{tmp_path}/o", t.schema)
+    feed.sink(out, f"file://{tmp_path}/c", feed.stream_appends(t)).trigger(availableNow=True).start().awaitTermination()
+    got = out.refresh().df().orderBy("id").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in rows(0, 8).orderBy("id").collect()]
