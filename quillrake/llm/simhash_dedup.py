@@ -75,10 +75,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-#: Words of a shingle of the stage, bins of a sketch, and bands of it: sketches that agree in 0.8 of their bins agree in all of some band with a chance of 0.998.
-STAGE_SHINGLE, SKETCH, BANDS, BAND_BINS = 5, 128, 21, 6
-#: A sketch estimates a similarity with a standard error of 0.035; pairs estimated more than this below the threshold are not read.
-MARGIN = 0.14
+#: Words of a shingle of the stage, and bins of its two sketches: the coarse one has bands, the fine one estimates similarities.
+STAGE_SHINGLE, COARSE, FINE = 5, 128, 512
+#: Coarse sketches that agree in 0.8 of their bins agree in all bins of some band with a chance of 0.998.
+BANDS, BAND_BINS = 21, 6
+#: A fine sketch estimates a similarity with a standard error of 0.018 at most; pairs estimated this far below the threshold are not read.
+MARGIN = 0.07
 #: Members compared in full in one group, and members of a larger bucket that every other member is compared with.
 BUCKET, REPRESENTATIVES = 512, 8
 
@@ -120,12 +122,14 @@ def _codes(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * sums > times[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
-def _sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """A byte of the least hash in each of ``SKETCH`` bins of a set of shingles; 0 for an empty bin."""
+def _sketches(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The coarse and the fine sketch of each set of shingles: a byte of the least hash in each bin; 0 for an empty bin."""
     none = np.uint64(2**64 - 1)
-    least = np.full(n * SKETCH, none, np.uint64)
-    np.minimum.at(least, doc * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), h)
-    return np.where(least == none, 0, 1 + (least >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).reshape(n, SKETCH)
+    fine = np.full(n * FINE, none, np.uint64)
+    np.minimum.at(fine, doc * FINE + (h % np.uint64(FINE)).astype(np.int64), h)
+    fine = fine.reshape(n, FINE)
+    coarse = fine.reshape(n, FINE // COARSE, COARSE).min(1)
+    return tuple(np.where(x == none, 0, 1 + (x >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) for x in (coarse, fine))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +140,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _codes(doc, h, n)
         doc, h = _distinct_shingles(doc, h)
         s1, s2 = (_per_document(doc, x, n) for x in (h, mixed(h + np.uint64(SEED))))
-        sketches = _sketches(doc, h, n)
         signed64 = [pa.array(x.view(np.int64)) for x in (code, s1, s2)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *signed64, pa.array([x.tobytes() for x in sketches], pa.binary())], ["id", "code", "s1", "s2", "sketch"])
+        sketches = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in _sketches(doc, h, n)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *signed64, *sketches], ["id", "code", "s1", "s2", "coarse", "sketch"])
     release()
 
 
@@ -161,14 +165,14 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sketch_rows(column: pa.Array) -> np.ndarray:
-    sketches = column.cast(pa.binary(SKETCH))
-    return np.frombuffer(sketches.buffers()[1] or b"", np.uint8)[sketches.offset * SKETCH :][: len(sketches) * SKETCH].reshape(-1, SKETCH)
+def _sketch_rows(column: pa.Array, size: int = FINE) -> np.ndarray:
+    sketches = column.cast(pa.binary(size))
+    return np.frombuffer(sketches.buffers()[1] or b"", np.uint8)[sketches.offset * size :][: len(sketches) * size].reshape(-1, size)
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = _sketch_rows(batch.column("sketch"))
+        rows = _sketch_rows(batch.column("coarse"), COARSE)
         used = np.flatnonzero((rows > 0).any(1))  # texts without words are one node
         node = batch.column("node").to_numpy(zero_copy_only=False)[used]
         for i in range(0, len(used), 1024):
@@ -243,7 +247,7 @@ def band_members(nodes: DataFrame) -> DataFrame:
     A bucket of over ``BUCKET`` nodes is dealt out as blocks, each with the bucket's ``REPRESENTATIVES`` in it, so the work is linear in
     its size; a chain over these joins blocks, and other bands deal their members anew. Sketches travel only where a bucket has two.
     """
-    keys, _ = cut(nodes.select("node", "sketch").mapInArrow(_banded, "shard long, node long"), "bands")
+    keys, _ = cut(nodes.select("node", "coarse").mapInArrow(_banded, "shard long, node long"), "bands")
     full = keys.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("node").alias("least")).where("n > 1")
     full, _ = cut(full.groupBy("n", "all", "least").agg(F.min("shard").alias("shard")).select("shard", "n"), "bands")  # of buckets with equal members one
     members = nodes.select("node", "sketch").join(keys.join(full, "shard"), "node").select("shard", "n", "node", "sketch")
@@ -324,8 +328,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from an estimate, and no pair is left out that shares a group and is estimated within ``MARGIN`` of the threshold.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    known, _ = cut(rows.mapInArrow(_features, "id long, code long, s1 long, s2 long, sketch binary"), "features")
-    nodes, _ = cut(known.groupBy("s1", "s2").agg(F.min(F.struct("id", "code", "sketch")).alias("x")).select("s1", "s2", F.col("x.id").alias("node"), "x.code", "x.sketch"), "nodes")
+    known, _ = cut(rows.mapInArrow(_features, "id long, code long, s1 long, s2 long, coarse binary, sketch binary"), "features")
+    nodes, _ = cut(known.groupBy("s1", "s2").agg(F.min(F.struct("id", "code", "coarse", "sketch")).alias("x")).select("s1", "s2", F.col("x.id").alias("node"), "x.code", "x.coarse", "x.sketch"), "nodes")
     firsts, _ = cut(nodes.groupBy("code").agg(F.min("node").alias("first"), F.count("*").alias("n")), "firsts")
     equal = nodes.select("code", "node").join(firsts.where("n > 1"), "code").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     close = code_links(firsts.select(F.col("first").alias("node"), "code"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

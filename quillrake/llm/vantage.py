@@ -14,18 +14,19 @@ at that radius; whoever meets there is compared on all bits.
 Vantage points and thresholds come from a sample of at most ``SAMPLE`` codes, chosen by hash, which the driver holds with the tree;
 every code is dealt, whatever the sample. A node is split while its share of all codes exceeds ``LEAF``, if no more than
 half of the sample overlaps the boundary. What cannot be split (a dense cluster, or a share of a table so large that the sample
-runs out) is a dense leaf: it is dealt out as pairs of blocks of ``LEAF`` codes, or, above ``DENSE`` codes, by a way that
-is linear in its size: two codes lie within two bits if and only if their balls of radius one share a point.
+runs out) is a dense leaf: its codes are dealt out to blocks, which others of the leaf visit, or, above ``DENSE`` codes, it takes a
+way that is linear in its size: two codes lie within two bits if and only if their balls of radius one share a point. Codes at home in
+a block are held together by one task; visitors, however many, pass by in batches.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ from .shared import cut
 
 SAMPLE = 1 << 16
 LEAF = 512
-DENSE = 32 * LEAF
+#: Leaves' worth of codes at home in one block of a dense leaf, and codes from which a leaf takes the linear way.
+BLOCKS, DENSE = 4, 32 * LEAF
 #: Sampled codes that are weighed up as vantage points of a node, and the least share of a side.
 CANDIDATES, LEAST_SIDE = 8, 0.15
 _HALVES = (0xFFFFFFFF, 0xFFFFFFFF00000000)
@@ -152,30 +154,37 @@ def least_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = now
 
 
-def _leaf_links(radius: int):
-    """Spanning links within groups of two blocks at most; visitors are compared with codes at home only."""
+def _linked(node: np.ndarray, code: np.ndarray, home: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning links of the first ``home`` codes of a leaf with each other and with the rest, its visitors."""
+    i, j = [], []
+    for at in range(0, len(code), 1024):
+        x, y = np.nonzero(np.bitwise_count(code[:home, None] ^ code[None, at : at + 1024]) <= radius)
+        i.append(x)
+        j.append(y + at)
+    label = least_labels(np.concatenate(i), np.concatenate(j), len(code))
+    joined = label != np.arange(len(code))
+    if joined.any():
+        yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[label[joined]])], ["a", "b"])
+
 
-    def near(code: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = np.flatnonzero(home)
-        out: list[tuple[np.ndarray, np.ndarray]] = [(own[:0], own[:0])]
-        for at in range(0, len(own), 256):
-            x = own[at : at + 256]
-            i, j = np.nonzero(np.bitwise_count(code[x, None] ^ code[None, :]) <= radius)
-            out.append((x[i], j))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _leaf_links(radius: int):
+    """Links within groups (shard, block) that lie together, codes at home first; visitors are met as they come, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, node, code = None, np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                members = batch.column("members").slice(at, 64)
-                flat, ends = members.flatten(), np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False))
-                node, code, home = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "code", "home"))
-                code, starts = code.astype(np.int64).view(np.uint64), np.concatenate([[0], ends[:-1]])
-                label = np.arange(len(node))
-                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                    label[a:b] = a + least_labels(*near(code[a:b], home[a:b].astype(bool)), b - a)
-                joined = label != np.arange(len(node))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(node[joined]), "b": pa.array(node[label[joined]])})
+            shard, block, nodes, codes = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "block", "node", "code"))
+            home, codes = batch.column("home").to_numpy(zero_copy_only=False).astype(bool), codes.view(np.uint64)
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (block[1:] != block[:-1])) + 1
+            for a, b in itertools.pairwise([0, *cuts.tolist(), len(shard)]):
+                if a == b:
+                    continue
+                if (shard[a], block[a]) != now:
+                    now, node, code = (shard[a], block[a]), node[:0], code[:0]
+                visits = a + int(home[a:b].sum())
+                node, code = np.concatenate([node, nodes[a:visits]]), np.concatenate([code, codes[a:visits]])
+                if len(code):
+                    yield from _linked(np.concatenate([node, nodes[visits:b]]), np.concatenate([code, codes[visits:b]]), len(code), radius)
 
     return run
 
@@ -195,10 +204,12 @@ def code_links(nodes: DataFrame, radius: int = 2, trees: list[VantageTree] | Non
     full, _ = cut(rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("own")).where("n > 1 AND own > 0"), "sizes")
     members = rows.join(full, "shard")
     linear = radius == 2
-    small = members.where(F.col("n") <= dense) if linear else members
-    parts = F.ceil(F.col("n") / F.lit(leaf)).cast("int")
-    small = small.withColumn("block", F.pmod(F.xxhash64("node", "shard"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    grouped = small.groupBy("shard", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    links = grouped.agg(F.collect_list(F.struct("node", "code", "home")).alias("members")).where(F.size("members") > 1)
-    links = links.select("members").mapInArrow(_leaf_links(radius), "a long, b long")
-    return links.union(_midpoint_links(members.where(F.col("n") > dense))) if linear else links
+    small = members.where(F.col("own") <= dense) if linear else members
+    parts = F.ceil(F.col("own") / F.lit(BLOCKS * leaf)).cast("int")
+    small = small.withColumn("parts", parts).withColumn("at", F.pmod(F.xxhash64("node", "shard"), "parts").cast("int"))
+    last = F.when(F.col("home"), F.col("at")).otherwise(F.col("parts") - 1)  # a code is at home in one block and visits those before
+    dealt = small.select("shard", "node", "code", "home", "at", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    dealt = dealt.select("shard", "block", (F.col("home") & (F.col("at") == F.col("block"))).alias("home"), "node", "code")
+    order = ["shard", "block", F.col("home").desc()]
+    links = dealt.repartition("shard", "block").sortWithinPartitions(*order).mapInArrow(_leaf_links(radius), "a long, b long")
+    return links.union(_midpoint_links(members.where(F.col("own") > dense))) if linear else links
