@@ -47,7 +47,10 @@ class RunReader:
     def fill(self) -> bool:
         """Read a block if nothing is held; false at the end."""
         if not len(self.held) and self.stream is not None:
-            self.held = np.frombuffer(self.stream.read(8 * _BLOCK), np.int64)
+            data = self.stream.read(8 * _BLOCK)
+            while len(data) % 8 and (more := self.stream.read(8 - len(data) % 8)):  # a store may give less than it is asked for
+                data += more
+            self.held = np.frombuffer(data, np.int64)
             if not len(self.held):
                 self.stream.close()
                 self.stream = None

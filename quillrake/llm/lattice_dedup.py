@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Forest, components, cut
+from .vantage import least_labels
 
 BLOCKS, TABLES, WIDTH, PROBES = 5, 16, 0.55, 2
 BLOCK = 1024
@@ -93,6 +94,25 @@ class Lattice:
         return out
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """A vector in single precision if that loses nothing, else in double; the last byte tells."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return single.tobytes() + b"f" if (single == x).all() else x.tobytes() + b"d"
+
+
+def _by_dimension(vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors in double precision) for each number of dimensions."""
+    held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+    for k, v in enumerate(vectors):
+        x = np.frombuffer(v, np.float32 if v[-1:] == b"f" else np.float64, (len(v) - 1) // (4 if v[-1:] == b"f" else 8))
+        rows, parts = held.setdefault(len(x), ([], []))
+        rows.append(k)
+        parts.append(x)
+    for rows, parts in held.values():
+        yield np.array(rows), np.array(parts, np.float64)
+
+
 def _hashed(settings: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices: dict[int, Lattice] = {}
@@ -115,8 +135,8 @@ def _hashed(settings: tuple):
                             continue
                         x = x / big  # too large or small to square
                         norm = np.sqrt(x @ x)
-                    packed[i] = x.tobytes()
-                    key[i] = hashlib.md5(packed[i]).digest()
+                    key[i] = hashlib.md5(x.tobytes()).digest()
+                    packed[i] = _packed(x)
                     rows, unit = by_dim.setdefault(len(x), ([], []))
                     rows.append(i)
                     unit.append(x / norm)
@@ -143,25 +163,17 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(threshold: float, width: int):
     """Sums and spanning links of groups that lie together, sorted by (cell, b1, b2). Groups are of bounded size."""
 
-    def pairs_of(group: dict, i: np.ndarray, j: np.ndarray, cell: int, forest: Forest, sums: dict) -> None:
+    def counted(group: dict, i: np.ndarray, j: np.ndarray, cell: int, n: np.ndarray, local: np.ndarray) -> None:
         a, b = group["cells"][i].reshape(len(i), -1, width), group["cells"][j].reshape(len(j), -1, width)
         shared = np.where(a[:, :, :, None] == b[:, :, None, :], a[:, :, :, None], np.iinfo(np.int64).max)
         mine = shared.reshape(len(i), -1).min(1) == cell
-        for x, y in zip(i[mine].tolist(), j[mine].tolist(), strict=True):
-            p, q = group["rep"][x], group["rep"][y]
-            sums[p] = sums.get(p, 0) + group["n"][y]
-            sums[q] = sums.get(q, 0) + group["n"][x]
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            forest.join(group["rep"][x], group["rep"][y])
+        np.add.at(local, i[mine], n[j[mine]])
+        np.add.at(local, j[mine], n[i[mine]])
 
     def compare(group: dict, cell: int, b1: int, b2: int, forest: Forest, sums: dict) -> None:
-        vectors: dict[int, list[int]] = {}
-        for k, v in enumerate(group["vector"]):
-            vectors.setdefault(len(v), []).append(k)
-        side = np.array(group["block"])
-        for rows in vectors.values():
-            rows = np.array(rows)
-            x = np.frombuffer(b"".join(group["vector"][k] for k in rows), np.float64).reshape(len(rows), -1)
+        rep, n, side = group["rep"], np.array(group["n"], np.int64), np.array(group["block"])
+        local, links = np.zeros(len(rep), np.int64), [(side[:0].astype(np.int64),) * 2]
+        for rows, x in _by_dimension(group["vector"]):
             x = x / np.sqrt((x * x).sum(1))[:, None]
             for at in range(0, len(rows), 256):
                 near = x[at : at + 256] @ x.T >= threshold
@@ -169,8 +181,14 @@ def _compared(threshold: float, width: int):
                 i += at
                 ok = (i < j) if b1 == b2 else (side[rows[i]] == b1) & (side[rows[j]] == b2)
                 i, j = rows[i[ok]], rows[j[ok]]
+                links.append((i, j))
                 for k in range(0, len(i), 4096):
-                    pairs_of(group, i[k : k + 4096], j[k : k + 4096], cell, forest, sums)
+                    counted(group, i[k : k + 4096], j[k : k + 4096], cell, n, local)
+        label = least_labels(*(np.concatenate(x) for x in zip(*links, strict=True)), len(rep))
+        for x in np.flatnonzero(label != np.arange(len(rep))).tolist():
+            forest.join(rep[x], rep[label[x]])
+        for x in np.flatnonzero(local).tolist():
+            sums[rep[x]] = sums.get(rep[x], 0) + int(local[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, sums = Forest(), {}
