@@ -428,6 +428,43 @@ def test_large_buckets_of_bands_are_linear_and_keep_groups_whole(spark, monkeypa
     assert kept == {0, *range(100, 120)}
 
 
+def test_partners_in_other_blocks_of_large_buckets_are_found(spark, monkeypatch):
+    """Pairs of a similarity of 0.82 among texts that share most words, 0.75 alike: only large buckets join many of them."""
+    monkeypatch.setattr(simhash_dedup, "BUCKET", 8)
+    common, rows, n = [f"c{k}" for k in range(160)], [], 300
+    for i in range(n):
+        both = common + [f"b{i}x{k}" for k in range(8)]
+        rows += [(i, " ".join([f"p{i}x{k}" for k in range(18)] + both)), (1000 + i, " ".join([f"q{i}x{k}" for k in range(18)] + both))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows[:4])]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert 0.8 <= alike(sets[0], sets[1]) < 0.85 and max(alike(a, b) for a in sets[:2] for b in sets[2:]) < 0.8
+    kept = {r["doc_id"] for r in simhash_dedup.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {*range(n)}
+
+
+@pytest.mark.parametrize("block, frequent", [(1024, 1 << 16), (4, 1 << 16), (4, 0)], ids=["blocks", "small", "unordered"])
+def test_prefixes_miss_no_pair(spark, monkeypatch, block, frequent):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(simhash_dedup, "PART", block << 8)
+    r = np.random.default_rng(5)
+    sets = []
+    for i in range(60):
+        base = np.unique(np.concatenate([r.integers(0, 2**63, r.integers(1, 60)), np.arange(r.integers(0, 30))]).astype(np.uint64))
+        sets += [base] + [np.unique(np.concatenate([base[r.random(len(base)) < 0.93], r.integers(0, 2**63, r.integers(0, 4)).astype(np.uint64)])) for _ in range(3)]
+    sets.append(np.zeros(0, np.uint64))
+    h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keys, count = np.unique(h, return_counts=True)
+    ranks = 1 + np.argsort(np.argsort(count[count > 3], kind="stable"))
+    common = (keys[count > 3], ranks) if frequent else (keys[:0], ranks[:0])
+    size, prefix = simhash_dedup._prefixes(doc, h, len(sets), common, 0.8)
+    label = [i // 2 for i in range(len(sets))]
+    rows = [(i, label[i], int(size[i]), prefix[i].as_py()) for i in range(len(sets))]
+    got = {(x["a"], x["b"]) for x in simhash_dedup.apart(spark.createDataFrame(rows, "node long, label long, size long, prefix array<long>"), 0.8).collect()}
+    all_sets = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if all_sets[i] & all_sets[j] and len(all_sets[i] & all_sets[j]) >= 0.8 * len(all_sets[i] | all_sets[j])}
+    assert len(want) > 50 and {(i, j) for i, j in want if label[i] != label[j]} <= got and all(a < b and label[a] != label[b] for a, b in got)
+
+
 def test_newlines_before_a_space_and_at_the_end_are_whole_text_ids():
     enc = encoder(public_path())
     for n in range(7):
