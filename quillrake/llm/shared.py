@@ -7,6 +7,7 @@ import ctypes
 import functools
 import re
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,7 +64,9 @@ def ship_modules(spark: SparkSession, folder: str) -> None:
 
 
 def release() -> None:
-    """Give memory that this worker has freed back to the system; stages share workers, which keep it otherwise."""
+    """Give memory back to the system that this worker has freed, or that the encoder of another stage holds; stages share workers, which keep it otherwise."""
+    if tokens := sys.modules.get(f"{__package__}.tokens"):
+        tokens.encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

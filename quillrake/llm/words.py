@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+#: Bytes whose words are hashed at once, and bits of the longest tables of powers that a worker keeps: 4 MB for each base.
+_STEP, _KEPT = 1 << 16, 18
 BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
@@ -19,18 +21,20 @@ _LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.ara
 
 @functools.lru_cache(4)
 def _powers_to(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to 2**bits."""
+    """base**i and base**-i modulo 2**64 for i below 2**bits."""
     out = []
     for b in (base, pow(base, -1, 2**64)):
         p = np.ones(1, _U)
-        for k in range(bits + 1):
+        for k in range(bits):
             p = np.concatenate([p, p * _U(pow(b, 1 << k, 2**64))])
         out.append(p)
     return tuple(out)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_to(base, max(20, int(n).bit_length()))
+    """The first ``n`` powers at least; longer tables than most batches need are made anew and not kept."""
+    bits = max(_KEPT - 1, int(n).bit_length())
+    return (_powers_to if bits <= _KEPT else _powers_to.__wrapped__)(base, bits)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -69,7 +73,7 @@ class Words:
             data = _LOWER[data]
         starts, hashes, at = [], [], 0
         while at < len(data):
-            end = min(len(data), at + PIECE)
+            end = min(len(data), at + _STEP)
             while end < len(data) and not _SPACE[data[end]]:  # pieces end before a space, so that no word is cut
                 stop = np.flatnonzero(_SPACE[data[end : end + 4096]])
                 end = min(len(data), end + (int(stop[0]) if len(stop) else 4096))

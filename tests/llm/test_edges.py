@@ -465,6 +465,34 @@ def test_prefixes_miss_no_pair(spark, monkeypatch, block, frequent):
     assert len(want) > 50 and {(i, j) for i, j in want if label[i] != label[j]} <= got and all(a < b and label[a] != label[b] for a, b in got)
 
 
+def test_a_worker_of_the_near_stage_holds_little_between_batches():
+    """Tables of powers, and the encoder of another stage, stay no longer than they are of use; hashes do not depend on the tables."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    from quillrake.llm import tokens, words
+
+    r = np.random.default_rng(2)
+    texts = pa.array([" ".join(f"w{k}" for k in r.integers(0, 9999, 300)) for _ in range(1000)] + ["x" * 200_000, "", None, "a b " * 200_000])
+    whole = words.Words(texts, lower=True)
+    for i in (0, 7, 999, 1000, 1003):
+        one = words.Words(texts.slice(i, 1), lower=True)
+        assert (one.hash == whole.hash[whole.doc == i]).all() and one.whole(words.BASES[1])[0] == whole.whole(words.BASES[1])[i]
+    words._powers_to.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], ["id", "text"])
+    features = simhash_dedup._features((np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0.8)
+    tokens.encoder(public_path(), 1000)
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in features(iter([batch]))) == len(texts)
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 32 << 20
+    finally:
+        tracemalloc.stop()
+    assert tokens.encoder.cache_info().currsize == 0
+
+
 def test_newlines_before_a_space_and_at_the_end_are_whole_text_ids():
     enc = encoder(public_path())
     for n in range(7):
