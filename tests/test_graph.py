@@ -143,3 +143,31 @@ def test_too_large_for_one_task(spark, monkeypatch):
     with pytest.raises(ValueError):
         graph.louvain(e)
     assert rows(graph.connected_components(e)) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_components_of_any_size_contract(spark, messy, monkeypatch):
+    """With nothing that fits one task, chunks are contracted level by level."""
+    want = rows(graph.connected_components(messy, "in_memory"))
+    way = edges(spark, [(i, i + 1) for i in range(100, 112)] + [(i, 300 - i) for i in range(190, 200)]).repartition(3)
+    expected = rows(graph.connected_components(way, "in_memory"))
+    monkeypatch.setattr(graph.edges, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(graph.edges, "CHUNK", 2)
+    assert rows(graph.connected_components(messy.repartition(5))) == want
+    assert rows(graph.connected_components(way)) == expected
+
+
+def test_components_are_dealt_to_tasks(spark, monkeypatch):
+    """A graph beyond one task, of components that fit: results are those of one task over the whole graph."""
+    r = random.Random(5)
+    many = edges(spark, [(20 * c + r.randrange(12), 20 * c + r.randrange(12)) for c in range(5) for _ in range(24)])
+    weighted = many.withColumn("weight", (many["source"] * 7 + many["target"]) % 3 + 1.0)
+    dag = many.where("source < target")
+    of = lambda: (rows(graph.louvain(many)), rows(graph.leiden(many, resolution=2.0)), rows(graph.louvain(weighted, "weight")), rows(graph.strongly_connected_components(many)), rows(graph.topological_levels(dag)))
+    want = of()
+    monkeypatch.setattr(graph.edges, "LOCAL_EDGES", 30)
+    monkeypatch.setattr(graph.edges, "CHUNK", 40)
+    assert of() == want
+    monkeypatch.setattr(graph.edges, "LOCAL_EDGES", 5)  # components too large: the way by frames
+    assert rows(graph.topological_levels(dag)) == want[4]
+    with pytest.raises(ValueError, match="hang together"):
+        graph.louvain(many)
