@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from quillrake.operators import graph
@@ -171,3 +172,42 @@ def test_components_are_dealt_to_tasks(spark, monkeypatch):
     assert rows(graph.topological_levels(dag)) == want[4]
     with pytest.raises(ValueError, match="hang together"):
         graph.louvain(many)
+
+
+def test_path_centralities_of_any_size_agree_with_plain_walks(spark, messy, monkeypatch):
+    """In batches that are halved, and as tables of pairs, against one walk after the other."""
+    links = {tuple(r) for r in messy.collect() if r[0] != r[1]}
+    nodes = sorted({n for r in messy.collect() for n in r})
+    out = {n: sorted(b for a, b in links if a == n) for n in nodes}
+    hop, ways = {}, {}
+    for s in nodes:
+        hop[s], ways[s], now = {s: 0}, {s: 1}, [s]
+        while now:
+            then = []
+            for u in now:
+                for v in out[u]:
+                    if v not in hop[s]:
+                        hop[s][v], ways[s][v] = hop[s][u] + 1, 0
+                        then.append(v)
+                    if hop[s][v] == hop[s][u] + 1:
+                        ways[s][v] += ways[s][u]
+            now = then
+    close = [(s, round((len(hop[s]) - 1) / t, 9) if (t := sum(hop[s].values())) else 0.0) for s in nodes]
+    through = lambda v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in nodes for t in hop[s] if v not in (s, t) and v in hop[s] and t in hop[v] and hop[s][v] + hop[v][t] == hop[s][t])
+    between = [(v, round(through(v), 9)) for v in nodes]
+    far = [h for s in nodes for h in hop[s].values() if h]
+    from_two = [h for s in (0, 20) for h in hop.get(s, {}).values() if h]
+    two = spark.createDataFrame([(0,), (20,), (77,)], "node long")
+
+    def check():
+        assert digits(graph.closeness(messy)) == close and digits(graph.betweenness(messy)) == between
+        assert tuple(graph.average_path_length(messy).first()) == (len(far), pytest.approx(sum(far) / len(far)))
+        assert tuple(graph.average_path_length(messy, two).first()) == (len(from_two), pytest.approx(sum(from_two) / len(from_two)))
+
+    monkeypatch.setattr(graph.edges, "LOCAL_EDGES", 3)
+    check()
+    monkeypatch.undo()
+    walks = graph.measures._Walks(graph.edges.gathered(iter(messy.toArrow().to_batches())))
+    monkeypatch.setattr(graph.measures, "_STEPS", 5)
+    assert sum(len(p) for _, layers in walks.batches(np.arange(len(nodes))) for p, _, _ in layers[1:]) == len(far)
+    check()
