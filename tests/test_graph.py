@@ -211,3 +211,11 @@ def test_path_centralities_of_any_size_agree_with_plain_walks(spark, messy, monk
     monkeypatch.setattr(graph.measures, "_STEPS", 5)
     assert sum(len(p) for _, layers in walks.batches(np.arange(len(nodes))) for p, _, _ in layers[1:]) == len(far)
     check()
+
+
+def test_clustering_does_not_pair_the_neighbours_of_a_hub(spark):
+    hub = edges(spark, [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1, 199)])
+    ranked = graph.measures._ranked(hub)
+    assert ranked.count() == 397 and max(r[1] for r in ranked.groupBy("source").count().collect()) <= 3
+    got = dict(rows(graph.clustering_coefficient(hub)))
+    assert got[0] == pytest.approx(2 * 198 / (199 * 198)) and got[1] == 1 and got[100] == pytest.approx(2 / 3)
