@@ -219,3 +219,14 @@ def test_clustering_does_not_pair_the_neighbours_of_a_hub(spark):
     assert ranked.count() == 397 and max(r[1] for r in ranked.groupBy("source").count().collect()) <= 3
     got = dict(rows(graph.clustering_coefficient(hub)))
     assert got[0] == pytest.approx(2 * 198 / (199 * 198)) and got[1] == 1 and got[100] == pytest.approx(2 / 3)
+
+
+def test_drift_on_dealt_components_is_that_of_one_task(spark, monkeypatch):
+    r = random.Random(8)
+    many = graph.edges.both_ways(edges(spark, [(40 * c + r.randrange(25), 40 * c + r.randrange(25)) for c in range(6) for _ in range(60)]))
+    want = rows(drift.drift_search(many)), rows(drift.drift_search(many, [41, 85])), rows(drift.regional_drift(many, [3, 44], 2))
+    monkeypatch.setattr(graph.edges, "LOCAL_EDGES", 130)
+    assert (rows(drift.drift_search(many)), rows(drift.drift_search(many, [41, 85])), rows(drift.regional_drift(many, [3, 44], 2))) == want
+    monkeypatch.setattr(graph.edges, "LOCAL_EDGES", 20)
+    with pytest.raises(ValueError, match="drifting"):
+        drift.drift_search(many)
