@@ -267,3 +267,18 @@ def test_an_index_gives_the_scores_of_a_scan(spark, tmp_path):
     assert (scores(), phrases()) == scanned and scanned[1] == [(1, 1), (5, 1)]
     t.append(spark.createDataFrame([(7, "red fox")], "id long, text string"))
     assert t._postings("text", None, "id", "standard") is None and len(scores()) == len(scanned[0]) + 1
+
+
+def test_large_partitions_and_files_are_shared_out(spark, tmp_path, monkeypatch):
+    """Rows of one partition value go to several tasks, and a file along a curve holds a bounded number of rows."""
+    rows = spark.range(60_000, numPartitions=4).selectExpr("id", "'one' AS kind", "uuid() AS u")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        t = Table.from_dataframe(rows, str(tmp_path / "parts"), partition_by=["kind"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(t.state["files"]) > 2 and t.row_count() == 60_000 == t.df().select("id").distinct().count()
+    monkeypatch.setattr("quillrake.sources.table.SORTED_ROWS", 10_000)
+    t = Table.from_dataframe(rows, str(tmp_path / "curve"))
+    t.cluster(["id"], "linear", files=2)
+    assert len(t.state["files"]) >= 6 and t.row_count() == 60_000 and not t.verify()
