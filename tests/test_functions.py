@@ -106,3 +106,28 @@ def test_sql_functions_are_the_column_functions(spark):
     assert {n for a in SQL_FUNCTIONS for n in a} <= set(names) and len(names) == len(set(names))
     r = spark.sql("SELECT dist_cosine(array(1, 2), array(2, 1)), l2_normalize(array(3, 4)), bm25_score('The cat', 'cat'), tf_idf('a b a'), reciprocal_rank_fusion(array(1)), json_path_query('[1,2]', '$[*]')").first()
     assert r[0] == pytest.approx(0.2) and r[1] == [0.6, 0.8] and r[2] == pytest.approx(1.0) and r[3] == pytest.approx([2 / 3, 1 / 3]) and r[4] == pytest.approx(1 / 61) and r[5] == ["1", "2"]
+
+
+def test_knn_join_bounds_before_it_measures(spark):
+    """Few pairs are left to measure, and ranks are those of all pairs, with ties, nulls and values that are not finite."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quillrake.functions.vector import METRICS
+    from quillrake.operators import retrieval
+
+    r = random.Random(4)
+    data = [(i, [float(r.randrange(4)) for _ in range(6)] if i % 9 else [1e8 + i % 5] * 6) for i in range(400)]
+    data += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6)]
+    df = spark.createDataFrame(data, "id long, x array<double>")
+    q = spark.createDataFrame([(i, x) for i, x in data if i % 40 == 0 or i > 399], "q long, v array<double>")
+    got = sorted(map(str, retrieval.knn_join(df, "x", "id", q, "v", "q", 7).collect()))
+    all_pairs = df.join(q).select("q", "id", METRICS["l2"](F.col("x"), F.col("v")).alias("distance")).where("distance IS NOT NULL")
+    want = all_pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where("rank <= 7")
+    assert got == sorted(map(str, want.collect()))
+    plain = df.where("id < 400").select(F.col("id").alias("__id"), F.col("x").alias("__x")).coalesce(1)
+    assert retrieval._near_pairs(plain, q.where("q < 400").select(F.col("q").alias("__q"), F.col("v").alias("__v")), 7).count() < 2 * 400
+    with pytest.raises(Exception):
+        retrieval.knn_join(df, "x", "id", spark.createDataFrame([(1, [1.0])], "q long, v array<double>"), "v", "q", 2).collect()
