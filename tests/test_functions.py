@@ -131,3 +131,13 @@ def test_knn_join_bounds_before_it_measures(spark):
     assert retrieval._near_pairs(plain, q.where("q < 400").select(F.col("q").alias("__q"), F.col("v").alias("__v")), 7).count() < 2 * 400
     with pytest.raises(Exception):
         retrieval.knn_join(df, "x", "id", spark.createDataFrame([(1, [1.0])], "q long, v array<double>"), "v", "q", 2).collect()
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    from quillrake.operators.fulltext import postings
+
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "b é b b"), (5, "a")], "id long, t string").coalesce(1)
+    out = postings(df, "id", "t")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["term"], r["id"], r["tf"], r["dl"], r["positions"]) for r in out.collect())
+    assert got == [("a", 1, 2, 3, [0, 2]), ("a", 5, 1, 1, [0]), ("b", 1, 1, 3, [1]), ("b", 4, 3, 4, [0, 2, 3]), ("é", 4, 1, 4, [1])]
